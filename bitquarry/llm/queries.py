@@ -7,20 +7,72 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_files
+from . import pii, token_files
 from .common import table
 
 #: Tokenizer files are parameters of the operators; these are the queries' own.
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_files.token_table(table(spark, sf_dir, "documents"), BPE_FILE, end_id=2)
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op7_token_files": op7_token_files,
 }
 
-ORACLE: dict[str, str] = {}
+
+def _pii_kind(kind: str, pattern: str, valid: str, context: str | None = None) -> str:
+    """CTEs: ``<kind>_s`` has per row the kind's valid spans as strings kind:start:end."""
+    near = f"AND (regexp_matches(right(g[i], 40), '{context}') OR regexp_matches(left(g[i + 1], 40), '{context}'))" if context else ""
+    return f"""
+{kind}_m AS (SELECT r, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM docs),
+{kind}_x AS (SELECT r, m[i] AS x, g, i, list_sum(list_transform(range(1, i + 1), lambda k: length(g[k]) + length(m[k]))) AS e
+             FROM (SELECT r, m, g, unnest(range(1, len(m) + 1)) AS i FROM {kind}_m)),
+{kind}_s AS (SELECT r, list(concat('{kind}:', CAST(e - length(x) AS BIGINT), ':', CAST(e AS BIGINT)) ORDER BY i) AS s
+             FROM {kind}_x WHERE {valid} {near} GROUP BY r)"""
+
+
+_SQL_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+_SQL_LUHN = (
+    f"list_sum(list_transform(range(1, length({_SQL_DIGITS}) + 1), lambda j: CASE WHEN j % 2 = 1 THEN CAST(substr({_SQL_DIGITS}, length({_SQL_DIGITS}) - j + 1, 1) AS INT) "
+    f"ELSE CAST(substr('0246813579', CAST(substr({_SQL_DIGITS}, length({_SQL_DIGITS}) - j + 1, 1) AS INT) + 1, 1) AS INT) END)) % 10 = 0"
+)
+_SQL_PLAIN = "replace(x, ' ', '')"
+_SQL_MOD97 = (
+    f"CAST(list_aggregate(list_transform(string_split(concat(substr({_SQL_PLAIN}, 5), substr({_SQL_PLAIN}, 1, 4)), ''), "
+    "lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE CAST(ascii(c) - 55 AS VARCHAR) END), 'string_agg', '') AS HUGEINT) % 97 = 1"
+)
+_PII_SQL = (
+    "WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),"
+    + ",".join(
+        [
+            _pii_kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+            _pii_kind("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(x, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0"),
+            _pii_kind("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_SQL_DIGITS}) BETWEEN 16 AND 19 AND {_SQL_LUHN}"),
+            _pii_kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_SQL_DIGITS}) BETWEEN 8 AND 15"),
+            _pii_kind("iban", r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)", f"length({_SQL_PLAIN}) BETWEEN 15 AND 34 AND {_SQL_MOD97}"),
+            _pii_kind(
+                "ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "NOT (regexp_matches(x, '^(000|666|9)') OR x LIKE '___-00-____' OR x LIKE '%-0000')", "(?i)ssn|social|security|taxpayer"
+            ),
+        ]
+    )
+    + """
+SELECT doc_id, CAST(coalesce(len(email_s.s), 0) AS BIGINT) AS n_email, CAST(coalesce(len(ip_s.s), 0) AS BIGINT) AS n_ip,
+       CAST(coalesce(len(card_s.s), 0) AS BIGINT) AS n_card, CAST(coalesce(len(phone_s.s), 0) AS BIGINT) AS n_phone,
+       sha256(array_to_string(list_concat(email_s.s, ip_s.s, card_s.s, phone_s.s), ',')) AS base_sha256,
+       array_to_string(list_concat(email_s.s, ip_s.s, card_s.s, phone_s.s, iban_s.s, ssn_s.s), ',') AS spans
+FROM docs LEFT JOIN email_s USING (r) LEFT JOIN ip_s USING (r) LEFT JOIN card_s USING (r) LEFT JOIN phone_s USING (r)
+     LEFT JOIN iban_s USING (r) LEFT JOIN ssn_s USING (r)"""
+)
+
+ORACLE: dict[str, str] = {
+    "op1_pii": _PII_SQL,
+}
