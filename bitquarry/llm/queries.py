@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, token_files
+from . import pii, token_files, topk
 from .common import table
 
 #: Tokenizer files are parameters of the operators; these are the queries' own.
@@ -18,6 +18,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.exact_topk(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_files.token_table(table(spark, sf_dir, "documents"), BPE_FILE, end_id=2)
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -25,6 +30,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_topk": op2_topk,
     "op7_token_files": op7_token_files,
 }
 
@@ -75,4 +81,12 @@ FROM docs LEFT JOIN email_s USING (r) LEFT JOIN ip_s USING (r) LEFT JOIN card_s
 
 ORACLE: dict[str, str] = {
     "op1_pii": _PII_SQL,
+    "op2_topk": """
+WITH x AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * x.v[i])) AS BIGINT) AS score
+      FROM x AS q JOIN x ON x.vec_id <> q.vec_id AND len(x.v) = len(q.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
 }
