@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, token_files, topk
+from . import cover_tree, pii, token_files, topk
 from .common import table
 
 #: Tokenizer files are parameters of the operators; these are the queries' own.
@@ -23,6 +23,10 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
 
 
+def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.with_links(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_files.token_table(table(spark, sf_dir, "documents"), BPE_FILE, end_id=2)
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -31,6 +35,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_topk": op2_topk,
+    "op6_cover_tree": op6_cover_tree,
     "op7_token_files": op7_token_files,
 }
 
@@ -89,4 +94,15 @@ s AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_sum(list_transform(range(
       FROM x AS q JOIN x ON x.vec_id <> q.vec_id AND len(x.v) = len(q.v) WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+    "op6_cover_tree": """
+WITH RECURSIVE u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u AS a JOIN u AS b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+      WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+n AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a),
+reach(id, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.r),
+c AS (SELECT id AS vec_id, min(r) AS c FROM reach GROUP BY id)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.c AS component_id, c.c = vec_id AS kept
+FROM embeddings JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)""",
 }
