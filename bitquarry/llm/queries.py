@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_tree, pii, token_files, topk
+from . import cover_tree, cpsjoin, pii, token_files, topk
 from .common import table
 
 #: Tokenizer files are parameters of the operators; these are the queries' own.
@@ -32,11 +32,16 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_cpsjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cpsjoin.classes(table(spark, sf_dir, "documents"), n=4, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_topk": op2_topk,
     "op6_cover_tree": op6_cover_tree,
     "op7_token_files": op7_token_files,
+    "op8_cpsjoin": op8_cpsjoin,
 }
 
 
@@ -105,4 +110,16 @@ reach(id, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.id, e.
 c AS (SELECT id AS vec_id, min(r) AS c FROM reach GROUP BY id)
 SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.c AS component_id, c.c = vec_id AS kept
 FROM embeddings JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)""",
+    "op8_cpsjoin": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                          ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS common
+      FROM x AS a JOIN x AS b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p WHERE 100 * common >= 80 * (n + m - common)),
+reach(id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.r),
+c AS (SELECT id AS doc_id, min(r) AS c FROM reach GROUP BY id)
+SELECT doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.c AS component_id, c.c = doc_id AS kept FROM s JOIN c USING (doc_id)""",
 }
