@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_tree, cpsjoin, pii, token_files, topk
+from . import cover_tree, cpsjoin, licenses, line_dedup, pii, token_files, topk
 from .common import table
 
 #: Tokenizer files are parameters of the operators; these are the queries' own.
@@ -23,6 +23,14 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.duplicates(table(spark, sf_dir, "documents"), kind="sentence", min_words=6)
+
+
 def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.with_links(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -39,6 +47,8 @@ def op8_cpsjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_topk": op2_topk,
+    "op3_licenses": op3_licenses,
+    "op4_line_dedup": op4_line_dedup,
     "op6_cover_tree": op6_cover_tree,
     "op7_token_files": op7_token_files,
     "op8_cpsjoin": op8_cpsjoin,
@@ -122,4 +132,13 @@ e AS (SELECT a, b FROM p WHERE 100 * common >= 80 * (n + m - common)),
 reach(id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.r),
 c AS (SELECT id AS doc_id, min(r) AS c FROM reach GROUP BY id)
 SELECT doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.c AS component_id, c.c = doc_id AS kept FROM s JOIN c USING (doc_id)""",
+    "op4_line_dedup": r"""
+WITH t AS (SELECT doc_id, string_split(replace(regexp_replace(coalesce(text, ''), '([.!?])( )', '\1' || chr(1) || '\2', 'g'), chr(10), chr(10) || chr(1)), chr(1)) AS u FROM documents),
+p AS (SELECT doc_id, i - 1 AS unit, u[i] AS x, CAST(coalesce(list_sum(list_transform(u[1:i - 1], lambda y: length(y))), 0) AS BIGINT) AS pos
+      FROM (SELECT doc_id, u, unnest(range(1, len(u) + 1)) AS i FROM t)),
+n AS (SELECT doc_id, unit, pos + length(x) - length(regexp_replace(x, '^\s+', '')) AS start, pos + length(regexp_replace(x, '\s+$', '')) AS "end",
+             array_to_string(list_filter(regexp_split_to_array(lower(x), '\s+'), lambda w: w <> ''), ' ') AS k FROM p),
+f AS (SELECT *, first_value(doc_id) OVER w AS first_doc_id, first_value(unit) OVER w AS first_unit FROM n WHERE len(string_split(k, ' ')) >= 6
+      WINDOW w AS (PARTITION BY k ORDER BY doc_id, unit))
+SELECT doc_id, unit, start, "end", first_doc_id, first_unit FROM f WHERE (doc_id, unit) <> (first_doc_id, first_unit)""",
 }
