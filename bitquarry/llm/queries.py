@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_tree, cpsjoin, licenses, line_dedup, pii, token_files, topk
+from . import cover_tree, cpsjoin, licenses, line_dedup, mixing, pii, token_files, topk
 from .common import table
 
 #: Tokenizer files are parameters of the operators; these are the queries' own.
@@ -44,6 +44,11 @@ def op8_cpsjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cpsjoin.classes(table(spark, sf_dir, "documents"), n=4, percent=80)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.plan(table(spark, sf_dir, "documents"), mixing.Target(repeats=2.0))
+    return found.select("doc_id", "source", "n_tokens", "copies", "mix_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_topk": op2_topk,
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_cover_tree": op6_cover_tree,
     "op7_token_files": op7_token_files,
     "op8_cpsjoin": op8_cpsjoin,
+    "op9_mixing": op9_mixing,
 }
 
 
