@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -37,15 +36,11 @@ from .common import fresh_path, text_or_empty
 
 SEQ_LEN = 2048
 BATCH_ROWS = 256
-#: Distinct words that a worker remembers before it starts afresh.
-WORDS_KEPT = 500_000
+#: Words in a generation of those that a worker remembers.
+WORDS_KEPT = 800_000
 #: Characters encoded together.
 CHUNK_CHARS = 2_000_000
 
-#: A space after white space: there the pre-tokenizer may keep both together.
-_ASCII_PAIRS = tuple(c + " " for c in " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0")
-_WIDE_PAIR = re.compile(r"\s ")
-
 MANIFEST = "part int, ids_path string, docs_path string, n_docs long, n_tokens long"
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -70,8 +65,9 @@ class WordEncoder:
         #: Ids that begin with a space: in a row of words each word has one, its first.
         self.leads = np.zeros(top, bool)
         self.leads[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
+        self.odd: set[str] = set()
+        #: By whether a space leads the word: words met lately, and before.
+        self.known: dict[bool, tuple[dict[str, bytes], dict[str, bytes]]] = {False: ({}, {}), True: ({}, {})}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -89,26 +85,44 @@ class WordEncoder:
             out += [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)]
         return out
 
-    def _learn(self, known: dict[str, bytes], words: set[str], led: bool) -> None:
+    def _learn(self, words: set[str], led: bool) -> dict[str, bytes]:
+        """A map that has all the words; of new ones, ``odd`` gets those that a space must not follow.
+
+        Words come in two generations: a full one becomes the old one, from
+        which words that are met again move on, so rare words are forgotten.
+        """
+        known, old = self.known[led]
         new = words.difference(known)
         if len(known) + len(new) > WORDS_KEPT:
-            known.clear()
+            known, old = {}, known
+            self.known[led] = known, old
             new = words
+        again = new.intersection(old.keys()) if old else ()
+        known.update((w, old[w]) for w in again)
+        new = new.difference(again)
+        self.odd.update(w for w in new if not w or w[-1].isspace())
         alone = [w for w in new if not led or not w or w[0].isspace() or w[-1].isspace()]
         known.update(zip(alone, self._encode([" " + w if led else w for w in alone]), strict=True))
         if led:
             row = list(new.difference(alone))
             known.update(zip(row, self._encode_led(row), strict=True))
+        return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
-        plain = [not (any(p in t for p in _ASCII_PAIRS) if t.isascii() else _WIDE_PAIR.search(t)) for t in texts]
-        split = [t.split(" ") if ok else None for t, ok in zip(texts, plain, strict=True)]
-        self._learn(self.first, {w[0] for w in split if w}, led=False)
-        self._learn(self.rest, set(chain.from_iterable(w[1:] for w in split if w)), led=True)
-        whole = iter(self._encode([t for t, ok in zip(texts, plain, strict=True) if not ok]))
-        rest = self.rest.__getitem__
-        return [next(whole) if w is None else self.first[w[0]] + b"".join(map(rest, w[1:])) for w in split]
+        if len(self.odd) > WORDS_KEPT:  # forgotten with all words, so that none goes unnoticed
+            self.odd, self.known = set(), {False: ({}, {}), True: ({}, {})}
+        split = [t.split(" ") for t in texts]
+        heads = [w.pop(0) for w in split]
+        firsts, words = set(heads), set(chain.from_iterable(split))
+        first, rest = self._learn(firsts, led=False), self._learn(words, led=True)
+        found = [first[h] + b"".join(map(rest.__getitem__, w)) for h, w in zip(heads, split, strict=True)]
+        # A space after white space: there the pre-tokenizer may keep both together.
+        if odd := self.odd & words | self.odd & firsts:
+            whole = [i for i, w in enumerate(split) if heads[i] in odd and w or not odd.isdisjoint(w[:-1])]
+            for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
+                found[i] = ids
+        return found
 
 
 @functools.lru_cache(maxsize=2)
