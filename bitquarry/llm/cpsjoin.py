@@ -1,16 +1,17 @@
 """Near-duplicate documents by a chosen-path set-similarity join.
 
 A document's set holds the hashes of its word shingles.  Its sketch has
-``SKETCH`` minwise values.  A forest of ``TREES`` trees branches documents by
-selected minwise tokens: a node hands a document to ``BRANCHES`` children, each
-named by one position that the node selects and the document's value there.
-Two documents with similarity s meet in a given child with probability s, so a
-pair at the threshold 0.8 survives a level with probability 1 - 0.2^3 = 0.992
-and misses all 4 trees with about 1e-8.  Nodes of at most ``SMALL`` documents
-are compared exhaustively by sketch; larger ones branch again, ``DEPTH`` levels
-deep; a node that is still large holds documents with that many equal minwise
-values and passes as a whole.  A sketch pair is a candidate from ``AGREE``
-equal values on, which a pair at the threshold misses with about 1e-8.
+``SKETCH`` minwise values.  A forest of ``TREES`` trees branches documents by selected
+minwise tokens: a node hands a document to some children, each named by one
+position that the node selects and the document's value there.  Two documents
+with similarity s meet in a given child with probability s.  Roots have
+``BRANCHES`` children, later nodes ``LATER``: at the threshold 0.8 a pair stays
+together below a shared child with probability above 0.94, and misses all 4
+trees with about 5e-8.  Nodes of at most ``SMALL`` documents are compared
+exhaustively by sketch; larger ones branch again, ``DEPTH`` levels deep; a node
+that is still large holds documents with that many equal minwise values and
+passes as a whole.  A sketch pair is a candidate from ``AGREE`` equal values on,
+which a pair at the threshold misses with about 1e-8.
 
 Candidates are kept as a spanning forest, and their components are clusters:
 every link lies within one, whatever the cluster's size, and each clustered
@@ -46,8 +47,9 @@ from .cover_tree import _forest
 SKETCH = 64
 TREES = 4
 BRANCHES = 3
-SMALL = 64
-DEPTH = 5
+LATER = 2
+SMALL = 256
+DEPTH = 3
 AGREE = 32
 BLOCK = 2_000_000
 WORDS_KEPT = 400_000
@@ -170,8 +172,8 @@ def _candidates(reps: DataFrame, percent: int) -> DataFrame:
         if depth == DEPTH:
             break
         at = F.pmod(F.xxhash64("node"), F.lit(SKETCH)).cast("int")
-        step = SKETCH // BRANCHES
-        children = F.array(*[F.xxhash64("node", (at + i * step) % SKETCH, F.col("sketch")[(at + i * step) % SKETCH]) for i in range(BRANCHES)])
+        step = SKETCH // LATER
+        children = F.array(*[F.xxhash64("node", (at + i * step) % SKETCH, F.col("sketch")[(at + i * step) % SKETCH]) for i in range(LATER)])
         nodes = checkpoint(stay.join(reps.select("rep", "sketch"), "rep").select("rep", F.explode(children).alias("node")).distinct())
     lead = stay.groupBy("node").agg(F.min("rep").alias("b"))
     found.append(stay.join(lead, "node").filter("rep <> b").select(F.col("rep").alias("a"), "b"))
