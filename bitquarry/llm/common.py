@@ -37,6 +37,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Lower the session's Arrow batches from Spark's default of 64 MB, for rows that hold whole blocks.
+
+    A session that sets another size keeps it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if str(spark.conf.get(key)).rstrip("b") == str(64 << 20):
+        spark.conf.set(key, size)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -13,7 +13,7 @@ centres are further apart than both covering radii and the threshold, and opens
 the node with the larger radius otherwise.  The pairs of leaves that stay are
 carried out by tasks on pairs of blocks, of at most ``BLOCK`` vectors that are
 neighbours in the tree: cosines of the leaves that can meet as a matrix product
-in double precision.  Exactly equal vectors are one representative with a
+in double precision, a stripe of rows at a time.  Exactly equal vectors are one representative with a
 weight, and a task returns counts and a spanning forest of its links, so groups
 of near copies cost no row per pair.
 
@@ -36,13 +36,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, small_batches
 from .components import connected
 from .vectors import distances, padded, usable
 
 SAMPLE = 2048
 LEAVES = 256
-BLOCK = 1024
+BLOCK = 2048
 SLACK = 1e-6
 
 _BLOCKS = "block long, ids binary, weights binary, leaves binary, dims binary, u binary"
@@ -167,6 +167,7 @@ def _forest(rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
 def links(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, leaves: int = LEAVES, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Representatives ``(id, key, rep, copies)`` of all usable rows, link counts ``(rep, n)`` and a spanning set of links ``(a, b)``."""
     spark = vectors.sparkSession
+    small_batches(spark)
     rows = usable(vectors, key, vector)
     width = rows.agg(F.max(F.size("v"))).first()[0] or 1
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
@@ -237,9 +238,10 @@ def links(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id", vect
                 grid = both[np.ix_(np.unique(x["leaves"]), np.unique(y["leaves"]))]
                 keep_x = np.flatnonzero(np.isin(x["leaves"], np.unique(x["leaves"])[grid.any(1)]))
                 keep_y = np.flatnonzero(np.isin(y["leaves"], np.unique(y["leaves"])[grid.any(0)]))
-                near = x["u"].reshape(-1, width)[keep_x] @ y["u"].reshape(-1, width)[keep_y].T >= threshold
-                r, c = np.nonzero(near)
-                r, c = keep_x[r], keep_y[c]
+                other = y["u"].reshape(-1, width)[keep_y].T
+                found = [np.nonzero(x["u"].reshape(-1, width)[keep_x[at : at + 256]] @ other >= threshold) for at in range(0, len(keep_x), 256)]
+                r = keep_x[np.concatenate([f[0] + 256 * k for k, f in enumerate(found)])] if found else np.zeros(0, int)
+                c = keep_y[np.concatenate([f[1] for f in found])] if found else r
                 ok = x["dims"][r] == y["dims"][c]
                 if row["x"] == row["y"]:
                     ok &= r != c

@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_tree, cpsjoin, licenses, line_dedup, mixing, pii, token_files, topk
+from . import cover_tree, cpsjoin, licenses, line_dedup, mixing, pieces, pii, token_files, topk, toxicity
 from .common import table
 
 #: Tokenizer files are parameters of the operators; these are the queries' own.
+PIECES_FILE = public_tokenizers.path("piece_bpe_32k.model")
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -31,6 +32,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.duplicates(table(spark, sf_dir, "documents"), kind="sentence", min_words=6)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "severity", "grade", "toxic")
+
+
 def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.with_links(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -49,15 +56,23 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", "n_tokens", "copies", "mix_key")
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether decoding gives the text back."""
+    found = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES_FILE)
+    return pieces.digest(found, PIECES_FILE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_topk": op2_topk,
     "op3_licenses": op3_licenses,
     "op4_line_dedup": op4_line_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_cover_tree": op6_cover_tree,
     "op7_token_files": op7_token_files,
     "op8_cpsjoin": op8_cpsjoin,
     "op9_mixing": op9_mixing,
+    "op10_pieces": op10_pieces,
 }
 
 
