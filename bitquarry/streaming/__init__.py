@@ -1 +1 @@
-
+"""Incremental building of a stored index from streams."""
