@@ -43,6 +43,13 @@ RECORD_SCHEMA = (
     "file STRING, block_id BIGINT, flag INT, qname STRING, tid INT, pos BIGINT, mapq INT, cigar ARRAY<STRUCT<op: STRING, len: INT>>, "
     "mtid INT, mpos BIGINT, insert_size BIGINT, seq STRING, qual BINARY"
 )
+_FLAG_TYPES = [("file", pa.string()), ("block_id", pa.int64()), ("flag", pa.int32())]
+_COUNT_TYPES = [*_FLAG_TYPES, ("read_count", pa.int64())]
+_RECORD_TYPES = [
+    *_FLAG_TYPES, ("qname", pa.string()), ("tid", pa.int32()), ("pos", pa.int64()), ("mapq", pa.int32()),
+    ("cigar", pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())]))), ("mtid", pa.int32()), ("mpos", pa.int64()),
+    ("insert_size", pa.int64()), ("seq", pa.string()), ("qual", pa.binary()),
+]
 #: Fixed values of the record format: operations and bases by their codes.
 OPS, BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
 
@@ -259,11 +266,11 @@ class BamReader(DataSourceReader):
             if self.kind == "count":
                 counts = Counter((block, flag) for block, flag, _ in self._records(partition, f))
                 rows = [(partition.path, block, flag, n) for (block, flag), n in counts.items()]
-                yield from _batches(iter(rows), COUNT_SCHEMA)
+                yield from _batches(iter(rows), _COUNT_TYPES)
             elif self.kind == "flag":
-                yield from _batches(((partition.path, block, flag) for block, flag, _ in self._records(partition, f)), FLAG_SCHEMA)
+                yield from _batches(((partition.path, block, flag) for block, flag, _ in self._records(partition, f)), _FLAG_TYPES)
             else:
-                yield from _batches((_fields(partition.path, *r) for r in self._records(partition, f)), RECORD_SCHEMA)
+                yield from _batches((_fields(partition.path, *r) for r in self._records(partition, f)), _RECORD_TYPES)
 
     def _records(self, part: _Part, f: pa.NativeFile) -> Iterator[tuple[int, int, bytes]]:
         """Block, flag and body of the partition's matching records."""
@@ -310,10 +317,8 @@ def _fields(path: str, block: int, flag: int, body: bytes) -> tuple:
     return path, block, flag, qname, tid, pos, mapq, cigar, mtid, mpos, size, seq, body[at : at + bases]
 
 
-def _batches(rows: Iterator[tuple], ddl: str, size: int = 4096) -> Iterator[pa.RecordBatch]:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = to_arrow_schema(StructType.fromDDL(ddl))
+def _batches(rows: Iterator[tuple], types: list, size: int = 4096) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema(types)
     held: list[tuple] = []
     for row in rows:
         held.append(row)
