@@ -1,13 +1,21 @@
-"""What several operators of this subpackage share."""
+"""What several operators of this subpackage share.
+
+Columns whose names begin with ``__bq_`` are the operators' own; an input may
+have any others.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any, TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
@@ -47,6 +55,21 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
         spark.conf.set(key, size)
 
 
+_STATE: dict[Hashable, Any] = {}
+
+
+def worker_state(key: Hashable, make: Callable[[], T]) -> T:
+    """What an operator keeps in a worker process between its tasks: word memories, models.
+
+    There is one such thing at a time: another operator's call drops it, so a
+    long-lived worker of several stages does not collect them all.
+    """
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -19,7 +19,6 @@ row; other columns of the input are ignored.
 
 from __future__ import annotations
 
-import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -32,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, text_or_empty
+from .common import fresh_path, text_or_empty, worker_state
 
 SEQ_LEN = 2048
 BATCH_ROWS = 256
@@ -97,7 +96,7 @@ class WordEncoder:
             known, old = {}, known
             self.known[led] = known, old
             new = words
-        again = new.intersection(old.keys()) if old else ()
+        again = [w for w in new if w in old] if old else []
         known.update((w, old[w]) for w in again)
         new = new.difference(again)
         self.odd.update(w for w in new if not w or w[-1].isspace())
@@ -125,10 +124,9 @@ class WordEncoder:
         return found
 
 
-@functools.lru_cache(maxsize=2)
 def encoder_of(path: str) -> WordEncoder:
     """One encoder per worker process, kept for its later tasks."""
-    return WordEncoder(path)
+    return worker_state(("token files", path), lambda: WordEncoder(path))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
