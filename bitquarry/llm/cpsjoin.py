@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, text_or_empty
+from .common import checkpoint, text_or_empty, worker_state
 from .components import connected
 from .cover_tree import _forest
 
@@ -52,7 +52,7 @@ SMALL = 256
 DEPTH = 3
 AGREE = 32
 BLOCK = 2_000_000
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 
 _MULTIPLIERS = np.random.default_rng(8).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -65,17 +65,15 @@ class _Hashes(dict):
         return found
 
 
-_words = _Hashes()
-
-
 def shingle_set(text: str, n: int) -> np.ndarray:
     """The sorted distinct hashes of the text's n-word shingles, of its one shorter sequence, or none."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z alone, at ASCII white space
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > WORDS_KEPT:
-        _words.clear()
-    w = np.array(list(map(_words.__getitem__, words)), np.uint64)
+    known = worker_state("shingles", _Hashes)
+    if len(known) > WORDS_KEPT:
+        known.clear()
+    w = np.array(list(map(known.__getitem__, words)), np.uint64)
     size = min(n, len(w))
     h = np.full(len(w) - size + 1, size, np.uint64)
     for i in range(size):
@@ -271,5 +269,5 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents of which their group's smallest id is their own: one of each group (every row where ids repeat)."""
-    kept = classes(docs, n, percent).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    kept = classes(docs, n, percent).filter("kept").select(F.col("doc_id").alias("__bq_id")).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__bq_id")), "left_semi")

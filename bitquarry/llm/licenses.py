@@ -142,10 +142,13 @@ class Scanner:
                 if share < self.threshold:
                     i += 1
                     continue
+                # The first places that hold all of these shingles, without repeats before or after.
+                stop = int(np.unique(s[stretch], return_index=True)[1].max()) + 1
+                go = stop - 1 - int(np.unique(s[stretch[:stop]][::-1], return_index=True)[1].max())
                 if spans is None:
                     spans = [m.span() for m in _WORD.finditer(low)]
-                out.append((name, spans[stretch[0]][0], spans[stretch[-1] + SHINGLE - 1][1], share))
-                i += len(stretch)
+                out.append((name, spans[stretch[go]][0], spans[stretch[stop - 1] + SHINGLE - 1][1], share))
+                i += stop
         return out
 
     def _hash(self, word: str) -> int:

@@ -87,8 +87,8 @@ def duplicates(docs: DataFrame, kind: str = "sentence", min_words: int = 6) -> D
 
 def remove(docs: DataFrame, kind: str = "sentence", min_words: int = 6) -> DataFrame:
     """The documents without repeated units; ``removed`` has their (start, end) in the original text."""
-    spans = duplicates(docs, kind, min_words).groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
-    joined = docs.drop("removed").join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+    spans = duplicates(docs, kind, min_words).groupBy(F.col("doc_id").alias("__bq_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
+    joined = docs.drop("removed").join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("__bq_id")), "left").drop("__bq_id")
 
     @F.pandas_udf("string")
     def cut(texts, removed):  # noqa: ANN001, ANN202

@@ -105,7 +105,7 @@ def plan(docs: DataFrame, target: Target, seed: int = 0) -> DataFrame:
     base = [c for c in docs.columns if c.lower() not in ("n_tokens", "copies", "mix_key")]
     words = F.regexp_count(text_or_empty(), F.lit(r"\S+")).cast("long")
     key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "text")
-    rows = docs.select(*base).withColumns({"n_tokens": words, "_key": key})
+    rows = docs.select(*base).withColumns({"n_tokens": words, "__bq_key": key})
     counted = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).collect()
     tokens = {r["source"]: r["tokens"] for r in counted}
     found = weights(tokens, solve(tokens, target))
@@ -115,22 +115,22 @@ def plan(docs: DataFrame, target: Target, seed: int = 0) -> DataFrame:
         share = budget * found[r["source"]]
         epochs = _epochs(share, r["tokens"])
         table.append((number, r["source"], max(1, math.ceil(r["docs"] / BLOCK)), epochs, share - epochs * r["tokens"], share, float(r["tokens"])))
-    kinds = {"_sid": pa.int32(), "_source": pa.string(), "_blocks": pa.int32(), "_epochs": pa.int32(), "_rest": pa.float64(), "_budget": pa.float64(), "_all": pa.float64()}
+    kinds = {"__bq_sid": pa.int32(), "__bq_source": pa.string(), "__bq_blocks": pa.int32(), "__bq_epochs": pa.int32(), "__bq_rest": pa.float64(), "__bq_budget": pa.float64(), "__bq_all": pa.float64()}
     # A local relation has a known size, by which Spark broadcasts it or not.
     sources = docs.sparkSession.createDataFrame(pa.table({c: pa.array([r[i] for r in table], k) for i, (c, k) in enumerate(kinds.items())}))
 
     # The permutation of the last, cut epoch: blocks by hash, then documents by hash.
-    dealt = rows.join(sources, F.col("source").cast("string").eqNullSafe(F.col("_source"))).withColumn("_block", F.pmod("_key", F.col("_blocks")))
-    turn = F.xxhash64(F.lit(seed + 1), "_epochs", "_sid", "_block")
-    blocks = dealt.groupBy("_sid", "_block").agg(F.first(turn).alias("_turn"), F.sum("n_tokens").alias("_in"))
-    over = Window.partitionBy("_sid").orderBy("_turn", "_block")  # over the blocks of a source, a row each
-    placed = blocks.select("_sid", "_block", (F.sum("_in").over(over) - F.col("_in")).alias("_before"))
+    dealt = rows.join(sources, F.col("source").cast("string").eqNullSafe(F.col("__bq_source"))).withColumn("__bq_block", F.pmod("__bq_key", F.col("__bq_blocks")))
+    turn = F.xxhash64(F.lit(seed + 1), "__bq_epochs", "__bq_sid", "__bq_block")
+    blocks = dealt.groupBy("__bq_sid", "__bq_block").agg(F.first(turn).alias("__bq_turn"), F.sum("n_tokens").alias("__bq_in"))
+    over = Window.partitionBy("__bq_sid").orderBy("__bq_turn", "__bq_block")  # over the blocks of a source, a row each
+    placed = blocks.select("__bq_sid", "__bq_block", (F.sum("__bq_in").over(over) - F.col("__bq_in")).alias("__bq_before"))
     # Blocks are of a bounded size, so the window over their documents is; it has the join's partitioning.
-    inner = Window.partitionBy("_sid", "_block").orderBy(F.xxhash64(F.lit(seed + 2), "_epochs", "_key"), "_key").rowsBetween(Window.unboundedPreceding, 0)
-    ended = dealt.join(placed, ["_sid", "_block"]).withColumn("_upto", F.col("_before") + F.sum("n_tokens").over(inner))
-    more = (F.col("_upto") <= F.col("_rest") * (1 + 1e-12)).cast("int")
-    place = F.when(F.col("_budget") > 0, ((F.col("_epochs") - 1 + more) * F.col("_all") + F.col("_upto")) / F.col("_budget")).otherwise(0.0)
-    return ended.select(*base, "n_tokens", (F.col("_epochs") + more).alias("copies"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), place)).alias("mix_key"))
+    inner = Window.partitionBy("__bq_sid", "__bq_block").orderBy(F.xxhash64(F.lit(seed + 2), "__bq_epochs", "__bq_key"), "__bq_key").rowsBetween(Window.unboundedPreceding, 0)
+    ended = dealt.join(placed, ["__bq_sid", "__bq_block"]).withColumn("__bq_upto", F.col("__bq_before") + F.sum("n_tokens").over(inner))
+    more = (F.col("__bq_upto") <= F.col("__bq_rest") * (1 + 1e-12)).cast("int")
+    place = F.when(F.col("__bq_budget") > 0, ((F.col("__bq_epochs") - 1 + more) * F.col("__bq_all") + F.col("__bq_upto")) / F.col("__bq_budget")).otherwise(0.0)
+    return ended.select(*base, "n_tokens", (F.col("__bq_epochs") + more).alias("copies"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), place)).alias("mix_key"))
 
 
 def _epochs(budget: float, tokens: int) -> int:
@@ -141,5 +141,5 @@ def _epochs(budget: float, tokens: int) -> int:
 def mix(docs: DataFrame, target: Target, seed: int = 0) -> DataFrame:
     """The mixed corpus: each row as often as the plan reads it, in the input's columns."""
     rows = plan(docs, target, seed)
-    repeated = rows.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    repeated = rows.filter("copies > 0").withColumn("__bq_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return repeated.select(*docs.columns)

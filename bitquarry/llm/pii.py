@@ -117,7 +117,7 @@ def _quoted(value: str) -> str:
 
 def _spans(kind: Kind) -> tuple[str, str]:
     """SQL for the ends and the spans of the kind's matches ``_m_<kind>``, between gaps ``_g_<kind>``."""
-    m, g = f"`_m_{kind.name}`", f"`_g_{kind.name}`"
+    m, g = f"`__bq_m_{kind.name}`", f"`__bq_g_{kind.name}`"
     steps = f"transform(sequence(0, int(floor(log2(size({m}))))), k -> shiftleft(1, k))"
     lengths = f"transform({m}, (x, i) -> length(x) + length({g}[i]))"
     ends = f"aggregate({steps}, {lengths}, (acc, d) -> transform(acc, (x, i) -> x + if(i >= d, acc[i - d], 0)))"
@@ -127,14 +127,14 @@ def _spans(kind: Kind) -> tuple[str, str]:
         f"then {CONTEXT_BONUS}D else 0D end"
     )
     found = (
-        f"filter(transform({m}, (x, i) -> named_struct('kind', '{kind.name}', 'start', `_e_{kind.name}`[i] - length(x), 'end', `_e_{kind.name}`[i], "
+        f"filter(transform({m}, (x, i) -> named_struct('kind', '{kind.name}', 'start', `__bq_e_{kind.name}`[i] - length(x), 'end', `__bq_e_{kind.name}`[i], "
         f"'text', x, 'score', least(1D, {kind.score}D + {near}))), s -> {kind.valid.format(x='s.text')} and s.score >= {kind.least}D)"
     )
     return ends, found
 
 
 def _where_empty(name: str, sql: str, kind: str) -> str:
-    return f"if(size(`_m_{name}`) > 0, {sql}, cast(array() as {kind}))"
+    return f"if(size(`__bq_m_{name}`) > 0, {sql}, cast(array() as {kind}))"
 
 
 SPAN = "array<struct<kind:string,start:int,end:int,text:string,score:double>>"
@@ -142,18 +142,18 @@ SPAN = "array<struct<kind:string,start:int,end:int,text:string,score:double>>"
 
 def detect(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     """Add ``out``: an array of (kind, start, end, text, score), by kind as in ``KINDS``, then start."""
-    df = docs.withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    df = docs.withColumn("__bq_t", F.coalesce(F.col(text).cast("string"), F.lit("")))
     df = df.withColumns(
         {
-            f"_m_{k.name}": F.expr(f"if({k.gate.format(t='_t')}, regexp_extract_all(_t, {_quoted(k.pattern)}, 0), cast(array() as array<string>))")
+            f"__bq_m_{k.name}": F.expr(f"if({k.gate.format(t='__bq_t')}, regexp_extract_all(__bq_t, {_quoted(k.pattern)}, 0), cast(array() as array<string>))")
             for k in KINDS
         }
     )
-    df = df.withColumns({f"_g_{k.name}": F.expr(_where_empty(k.name, f"split(_t, {_quoted(k.pattern)}, -1)", "array<string>")) for k in KINDS})
-    df = df.withColumns({f"_e_{k.name}": F.expr(_where_empty(k.name, _spans(k)[0], "array<int>")) for k in KINDS})
-    df = df.withColumns({f"_s_{k.name}": F.expr(_where_empty(k.name, _spans(k)[1], SPAN)) for k in KINDS})
-    df = df.withColumn(out, F.concat(*[F.col(f"_s_{k.name}") for k in KINDS]))
-    return df.drop("_t", *[f"_{p}_{k.name}" for k in KINDS for p in "mges"])
+    df = df.withColumns({f"__bq_g_{k.name}": F.expr(_where_empty(k.name, f"split(__bq_t, {_quoted(k.pattern)}, -1)", "array<string>")) for k in KINDS})
+    df = df.withColumns({f"__bq_e_{k.name}": F.expr(_where_empty(k.name, _spans(k)[0], "array<int>")) for k in KINDS})
+    df = df.withColumns({f"__bq_s_{k.name}": F.expr(_where_empty(k.name, _spans(k)[1], SPAN)) for k in KINDS})
+    df = df.withColumn(out, F.concat(*[F.col(f"__bq_s_{k.name}") for k in KINDS]))
+    return df.drop("__bq_t", *[f"__bq_{p}_{k.name}" for k in KINDS for p in "mges"])
 
 
 def digest(found: DataFrame, pii: str = "pii") -> DataFrame:
@@ -172,15 +172,15 @@ def redact(docs: DataFrame, text: str = "text", tag: str = "[PII]") -> DataFrame
     The running maximum of the spans' ends, again by doubling steps, tells
     where one run of overlapping spans stops and the next one starts.
     """
-    steps = "transform(sequence(0, int(floor(log2(size(_p))))), k -> shiftleft(1, k))"
-    reach = f"aggregate({steps}, transform(_p, s -> s.end), (acc, d) -> transform(acc, (x, i) -> if(i >= d, greatest(x, acc[i - d]), x)))"
-    df = detect(docs, text, "_pii")
-    df = df.withColumn("_p", F.expr("array_sort(transform(_pii, s -> named_struct('start', s.start, 'end', s.end)))"))
-    df = df.withColumn("_r", F.expr(f"if(size(_p) > 0, {reach}, cast(array() as array<int>))"))
-    df = df.withColumn("_f", F.expr("filter(transform(_p, (s, i) -> if(i = 0 or s.start >= _r[i - 1], i, -1)), i -> i >= 0)"))
+    steps = "transform(sequence(0, int(floor(log2(size(__bq_p))))), k -> shiftleft(1, k))"
+    reach = f"aggregate({steps}, transform(__bq_p, s -> s.end), (acc, d) -> transform(acc, (x, i) -> if(i >= d, greatest(x, acc[i - d]), x)))"
+    df = detect(docs, text, "__bq_pii")
+    df = df.withColumn("__bq_p", F.expr("array_sort(transform(__bq_pii, s -> named_struct('start', s.start, 'end', s.end)))"))
+    df = df.withColumn("__bq_r", F.expr(f"if(size(__bq_p) > 0, {reach}, cast(array() as array<int>))"))
+    df = df.withColumn("__bq_f", F.expr("filter(transform(__bq_p, (s, i) -> if(i = 0 or s.start >= __bq_r[i - 1], i, -1)), i -> i >= 0)"))
     kept = (
-        f"transform(_f, (i, n) -> substr(`{text}`, if(n = 0, 0, _r[i - 1]) + 1, _p[i].start - if(n = 0, 0, _r[i - 1])))"
+        f"transform(__bq_f, (i, n) -> substr(`{text}`, if(n = 0, 0, __bq_r[i - 1]) + 1, __bq_p[i].start - if(n = 0, 0, __bq_r[i - 1])))"
     )
-    tail = f"substr(`{text}`, element_at(_r, -1) + 1)"
-    df = df.withColumn(text, F.expr(f"if(size(_p) = 0, `{text}`, array_join(array_append({kept}, {tail}), '{tag}'))"))
-    return df.drop("_pii", "_p", "_r", "_f")
+    tail = f"substr(`{text}`, element_at(__bq_r, -1) + 1)"
+    df = df.withColumn(text, F.expr(f"if(size(__bq_p) = 0, `{text}`, array_join(array_append({kept}, {tail}), '{tag}'))"))
+    return df.drop("__bq_pii", "__bq_p", "__bq_r", "__bq_f")

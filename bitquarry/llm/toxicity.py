@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, worker_state
 
 SAMPLE = 6000
 FEATURES = 512
@@ -44,7 +44,7 @@ LEAST_DOCS = 4
 LEAST_Z = 5.0
 STEPS = 1500
 RIDGE = 1e-6
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -156,9 +156,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     return fit_rows([np.frombuffer(r, np.int64) for r in got["raw"]], got["label"].to_numpy(), most)
 
 
-_CACHES: dict[bytes, dict[str, tuple[int, ...]]] = {}
-
-
 def _scored(docs: DataFrame, model: Model) -> DataFrame:
     name = repr(sorted(model.weights.items())).encode() + model.thresholds.tobytes()
     key = xxhash.xxh3_128_digest(name)
@@ -167,21 +164,19 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
     def run(texts):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        if key not in _CACHES:
-            _CACHES.clear()
-        p = model.severities(list(texts), _CACHES.setdefault(key, {}))
+        p = model.severities(list(texts), worker_state(("toxicity", key), dict))
         return pd.DataFrame({"severity": p.sum(1), "grade": (p >= 0.5).sum(1).astype(np.int32)})
 
-    return docs.withColumn("_severity", run(text_or_empty()))
+    return docs.withColumn("__bq_severity", run(text_or_empty()))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Add ``severity`` (expected grade), ``grade`` (thresholds passed with at least even odds) and ``toxic`` (grade above 0)."""
     base = [c for c in docs.columns if c.lower() not in ("severity", "grade", "toxic")]
-    s = F.col("_severity")
+    s = F.col("__bq_severity")
     return _scored(docs, model).select(*base, s["severity"].alias("severity"), s["grade"].alias("grade"), (s["grade"] > 0).alias("toxic"))
 
 
 def accept(docs: DataFrame, model: Model) -> DataFrame:
     """The documents of grade 0, unchanged."""
-    return _scored(docs, model).filter(F.col("_severity")["grade"] == 0).drop("_severity")
+    return _scored(docs, model).filter(F.col("__bq_severity")["grade"] == 0).drop("__bq_severity")
