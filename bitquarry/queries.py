@@ -59,7 +59,7 @@ def _set_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = index.flag_summary(_index(spark, sf_dir))
-    return s.select("flag", flags.hex_flag().alias("hex"), flags.binary_flag().alias("binary"), flags.labels().alias("labels"))
+    return s.select("flag", flags.hex_flag().alias("hex"), flags.binary_flag().alias("binary_digits"), flags.labels().alias("labels"))
 
 
 def _result(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "efficiency": lambda s, d: query.efficiency(_index(s, d), MASK),
     "view_direct": lambda s, d: query.view_direct(_records(s, d), RARE).select(*_ITEM),
     "view_indexed": lambda s, d: query.view(_records(s, d), _index(s, d), RARE).select(*_ITEM),
-    "records_by_block": lambda s, d: query.by_block(_records(s, d), MASK),
+    "records_by_block": lambda s, d: query.by_block(_records(s, d), MASK).withColumnRenamed("count", "reads"),
     "block_overlap": lambda s, d: compare.overlap(*_changed(s, d)),
     "bin_mismatch": lambda s, d: compare.mismatches(*_changed(s, d)),
     "equivalence": lambda s, d: compare.is_equivalent(_index(s, d), index.merge(*_halves(s, d))),
@@ -154,7 +154,7 @@ ORACLE: dict[str, str] = {
     "top_flags": f"""{_I} SELECT flag, printf('0x%03x', flag) AS hex, {_SUM} AS total_reads, {_SUM} * 100.0::DOUBLE / (SELECT {_SUM} FROM i) AS percentage, {_LABELS} AS labels
         FROM i GROUP BY flag ORDER BY total_reads DESC, flag LIMIT 10""",
     "flag_page": f"{_I} SELECT flag, {_SUM} AS total_reads FROM i GROUP BY flag ORDER BY flag LIMIT 20 OFFSET 20",
-    "flag_labels": f"{_I} SELECT DISTINCT flag, printf('0x%03x', flag) AS hex, lpad(bin(flag), CAST(greatest(12, length(bin(flag))) AS INT), '0') AS binary, {_LABELS} AS labels FROM i",
+    "flag_labels": f"{_I} SELECT DISTINCT flag, printf('0x%03x', flag) AS hex, lpad(bin(flag), CAST(greatest(12, length(bin(flag))) AS INT), '0') AS binary_digits, {_LABELS} AS labels FROM i",
     "flag_set_bits": f"{_I} SELECT DISTINCT flag, CAST(bit AS INT) AS bit, label, description FROM i JOIN {_NAMED} ON (flag & bit) <> 0",
     "bit_totals": f"{_I} SELECT CAST(bit AS INT) AS bit, label, {_SUM} AS reads, count(DISTINCT flag) AS flags FROM i JOIN {_NAMED} ON (flag & bit) <> 0 GROUP BY bit, label",
     "reads_per_block": f"{_I} SELECT block_id, {_SUM} AS reads FROM i GROUP BY block_id",
@@ -171,7 +171,7 @@ ORACLE: dict[str, str] = {
         CASE WHEN selectivity > 0.5 THEN 'scan the whole file' WHEN blocks_to_scan > 1000 THEN 'may be slow' ELSE 'efficient' END AS advice FROM s""",
     "view_direct": f"WITH {_R} SELECT {_ITEMS} FROM r WHERE {_RARE}",
     "view_indexed": f"{_I} SELECT {_ITEMS} FROM r SEMI JOIN (SELECT block_id FROM i WHERE {_RARE}) AS b USING (block_id) WHERE {_RARE}",
-    "records_by_block": f"WITH {_R} SELECT block_id, count(*) AS \"count\" FROM r WHERE {_HIT} GROUP BY block_id",
+    "records_by_block": f"WITH {_R} SELECT block_id, count(*) AS reads FROM r WHERE {_HIT} GROUP BY block_id",
     "block_overlap": f"{_J}, {_OVERLAP} SELECT * FROM p",
     "bin_mismatch": f"{_J}, {_MISMATCH} SELECT * FROM m",
     "equivalence": "SELECT true AS equivalent",
