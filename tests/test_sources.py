@@ -12,7 +12,7 @@ from bitquarry.functions.flags import Mask
 from bitquarry.operators import index, query
 from bitquarry.plans import skipping
 from bitquarry.plans.catalog import BadIndex, Catalog
-from bitquarry.sources import bam, sam
+from bitquarry.sources import bam, bam_sink, sam
 from bitquarry.sources.records import lineitem_records
 from bitquarry.streaming.merge import StreamIndex, running_index
 
@@ -174,3 +174,21 @@ def test_cli(spark, tmp_path, capsys):
     cli.main(["viewer", "view", "-f", "4", str(path)], spark)
     out = capsys.readouterr().out
     assert "packed" in out and "0x404" in out and "000000000100" in out
+
+
+def test_bam_sink(spark, tmp_path):
+    path = write(tmp_path / "a.bam", block(HEADER), block(b"".join(record(i, f"n{i}", "ACGTN" * (i % 7), i % 2 - 1, i) for i in range(200))), END)
+    rows = bam.read(spark, str(path))
+    head = bam.read_header(str(path), bam.discover_blocks(str(path)))
+    bam_sink.write(rows.repartition(3, "qname"), f"{tmp_path}/out", head.text, head.names, head.lengths)
+    files = sorted(str(p) for p in (tmp_path / "out").iterdir())
+    assert len(files) == 3 and bam.read_header(files[0], bam.discover_blocks(files[0])).names == ("chr1",)
+    plain = lambda df: sorted(map(repr, df.drop("file", "block_id").collect()))
+    assert plain(bam.read(spark, ",".join(files))) == plain(rows)
+    with pytest.raises(Exception, match="holds files"):
+        bam_sink.write(rows, f"{tmp_path}/out")
+    bam_sink.write(rows.limit(1).coalesce(1), f"{tmp_path}/out", mode="overwrite")
+    assert len(list((tmp_path / "out").iterdir())) == 1
+    long = rows.limit(1).selectExpr("*").drop("seq", "qual").withColumns({"seq": F.repeat(F.lit("A"), 200_000), "qual": F.lit(None).cast("binary")})
+    bam_sink.write(long, f"{tmp_path}/long", head.text, head.names, head.lengths)
+    assert bam.read(spark, str(next((tmp_path / "long").iterdir()))).first()["seq"] == "A" * 200_000
