@@ -33,20 +33,19 @@ from __future__ import annotations
 import functools
 import itertools
 import re
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_batches, text_or_empty
+from .common import checkpoint, small_batches, text_or_empty, worker_state
 
 SPACE = "▁"
 CHUNK = 1 << 15
 #: Words in a generation of those that a worker remembers.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 100_000
 LEAST = -(1 << 62)
 
 #: A state: the covering piece's (start, end) from the cut, or (0, 0) between words.
@@ -80,14 +79,17 @@ class Model:
         self.byte_of = {i: bytes([int(p.piece[3:5], 16)]) for i, p in enumerate(proto.pieces) if p.type == 6}
         self.raw = [self.byte_of.get(i) or x.encode() for i, x in enumerate(self.pieces)]
         self.longest = max(map(len, self.normal))
-        #: Substrings that begin a piece, to stop looking early.
-        self.begins = {p[:n] for p in self.normal for n in range(1, len(p) + 1)}
         self.letters = frozenset("".join(self.normal))
         self.prefix = spec.add_dummy_prefix
         spec.add_dummy_prefix = False
         self.library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
+    @functools.cached_property
+    def begins(self) -> set[str]:
+        """Substrings that begin a piece, to stop looking early."""
+        return {p[:n] for p in self.normal for n in range(1, len(p) + 1)}
+
     def prepared(self, text: str) -> str:
         return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
 
@@ -109,7 +111,7 @@ class Model:
             known, old = {}, known
             self.known = known, old
             new = words
-        again = new.intersection(old.keys()) if old else ()
+        again = [w for w in new if w in old] if old else []
         known.update((w, old[w]) for w in again)
         unseen = list(new.difference(again))
         ids = self.library.encode(unseen, num_threads=1) if unseen else []
@@ -216,10 +218,9 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a[:, :, None] + b[None]).max(1), LEAST)
 
 
-@functools.lru_cache(maxsize=2)
 def model_of(path: str) -> Model:
     """One model per worker process, kept for its later tasks."""
-    return Model(path)
+    return worker_state(("pieces", path), lambda: Model(path))
 
 
 _CHUNKS = "row long, part int, text string, start int, end int, starts array<int>, ends array<int>"
@@ -255,37 +256,65 @@ def _groups(texts: list[str], most: int = 2_000_000) -> Iterator[list[str]]:
 
 def encode(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
     """Add ``ids`` (array of int), the text's piece ids."""
-    small_batches(docs.sparkSession)
-    base = [c for c in docs.columns if c.lower() != "ids"]
-    rows = docs.select(*base)
-    text = text_or_empty()
-    giant = F.length(text) > chunk
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf("array<int>")
     def whole(texts):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        m = model_of(model)
-        return pd.Series([x for g in _groups([m.prepared(t) for t in texts]) for x in m.encode(g)], dtype=object)
+        return pd.Series([np.frombuffer(x, "<i4") for x in _encoded(model, texts)], dtype=object)
 
-    # A text of one chunk is its own scan.
-    small = rows.filter(~giant).withColumn("_ids", whole(text))
-    numbered = checkpoint(rows.filter(giant).withColumn("_row", F.monotonically_increasing_id()))
-    return small.unionAll(numbered.join(_scan(numbered.select("_row", text.alias("text")), model, chunk), "_row").drop("_row")).withColumn("ids", _ints("_ids")).drop("_ids")
+    small, giant = _encode(docs, model, chunk, ["ids"], "array<int>")
+    return small.withColumn("ids", whole(text_or_empty())).unionAll(giant)
 
 
-def _ints(column: str):
-    @F.pandas_udf("array<int>")
-    def ints(raw):  # noqa: ANN001, ANN202
+def encode_checked(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
+    """Add ``ids`` as little-endian int32 bytes and ``restored``: does decoding them give the text?
+
+    Each branch has one Python step, so a task has one worker.
+    """
+
+    @F.pandas_udf("ids binary, restored boolean")
+    def whole(texts):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.Series([np.frombuffer(x, "<i4") for x in raw], dtype=object)
+        ids = list(_encoded(model, texts))
+        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "restored": [_restores(model, x, t) for x, t in zip(ids, texts, strict=True)]})
+
+    @F.pandas_udf("boolean")
+    def check(ids, texts):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.Series([_restores(model, x, t) for x, t in zip(ids, texts, strict=True)], dtype=bool)
+
+    small, giant = _encode(docs, model, chunk, ["ids", "restored"], "binary")
+    base = small.columns
+    first = small.withColumn("__bq_e", whole(text_or_empty())).select(*base, F.col("__bq_e")["ids"].alias("ids"), F.col("__bq_e")["restored"].alias("restored"))
+    return first.unionAll(giant.withColumn("restored", check("ids", text_or_empty())))
 
-    return ints(column)
 
+def _encoded(model: str, texts: Iterable[str]) -> Iterator[bytes]:
+    m = model_of(model)
+    for g in _groups([m.prepared(t) for t in texts]):
+        yield from m.encode(g)
 
-def _scan(giants: DataFrame, model: str, chunk: int) -> DataFrame:
-    """``_row, _ids`` of giant texts, each in many tasks."""
+
+def _restores(model: str, ids: bytes, text: str) -> bool:
+    return model_of(model).decode(np.frombuffer(ids, "<i4")) == text.replace(SPACE, " ")
+
+
+def _encode(docs: DataFrame, model: str, chunk: int, added: list[str], kind: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of texts of one chunk, which is its own scan, and those of giant ones with ``ids``."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(*[c for c in docs.columns if c.lower() not in added])
+    text = text_or_empty()
+    giant = F.length(text) > chunk
+    numbered = checkpoint(rows.filter(giant).withColumn("__bq_row", F.monotonically_increasing_id()))
+    scanned = _scan(numbered.select("__bq_row", text.alias("text")), model, chunk, kind)
+    return rows.filter(~giant), numbered.join(scanned, "__bq_row").drop("__bq_row")
+
+
+def _scan(giants: DataFrame, model: str, chunk: int, kind: str) -> DataFrame:
+    """``__bq_row, ids`` of giant texts, each in many tasks."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_of(model)
@@ -332,23 +361,25 @@ def _scan(giants: DataFrame, model: str, chunk: int) -> DataFrame:
             for row, end, came, ids in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 if row[0] != now:
                     if parts:
-                        yield _joined(now, parts)
+                        yield _joined(now, parts, kind)
                     now, want, parts, last = row[0], 0, [], None
                 if row[1] != last and end == want:
                     parts.append(ids)
                     want, last = came, row[1]
         if parts:
-            yield _joined(now, parts)
+            yield _joined(now, parts, kind)
 
     matrices = chunks.mapInArrow(transfers, "row long, part int, starts int, m binary")
     values = matrices.repartition("row").sortWithinPartitions("row", "part").mapInArrow(prefixes, "row long, part int, value array<bigint>")
     traced = chunks.join(values, ["row", "part"]).mapInArrow(backtraces, "row long, part int, end int, from int, ids binary")
     ordered = traced.repartition("row").sortWithinPartitions("row", F.desc("part"), "end").select(F.array(F.col("row"), F.col("part").cast("long")).alias("at"), "end", "from", "ids")
-    return ordered.mapInArrow(chains, "_row long, _ids binary")
+    return ordered.mapInArrow(chains, f"__bq_row long, ids {kind}")
 
 
-def _joined(row: int, parts: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"_row": [row], "_ids": [b"".join(reversed(parts))]})
+def _joined(row: int, parts: list[bytes], kind: str) -> pa.RecordBatch:
+    raw = b"".join(reversed(parts))
+    ids = pa.array([raw], pa.binary()) if kind == "binary" else pa.ListArray.from_arrays(pa.array([0, len(raw) // 4], pa.int32()), pa.array(np.frombuffer(raw, "<i4")))
+    return pa.RecordBatch.from_arrays([pa.array([row]), ids], names=["__bq_row", "ids"])
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -362,20 +393,3 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids", out: str = "text")
         return pd.Series([None if r is None else m.decode(np.asarray(r)) for r in rows], dtype=object)
 
     return encoded.withColumn(out, text(ids))
-
-
-def digest(encoded: DataFrame, model: str) -> DataFrame:
-    """``doc_id, n_pieces, ids_crc32`` (of little-endian int32) and ``restored``: does decoding give the text?"""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model_of(model)
-        for batch in batches:
-            raw = [np.array(x, "<i4") for x in (v.values.to_numpy() for v in batch.column("ids"))]
-            same = [m.decode(x) == t.as_py().replace(SPACE, " ") for x, t in zip(raw, batch.column("text"), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in raw], pa.int64()), pa.array(same, pa.bool_())],
-                names=["doc_id", "n_pieces", "ids_crc32", "restored"],
-            )
-
-    rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), "ids")
-    return rows.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, restored boolean")

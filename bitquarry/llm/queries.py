@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import cover_tree, cpsjoin, licenses, line_dedup, mixing, pieces, pii, token_files, topk, toxicity
 from .common import table
@@ -25,11 +26,12 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumnsRenamed({"start": "start_char", "end": "end_char"})
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.duplicates(table(spark, sf_dir, "documents"), kind="sentence", min_words=6)
+    found = line_dedup.duplicates(table(spark, sf_dir, "documents"), kind="sentence", min_words=6)
+    return found.withColumnsRenamed({"start": "start_char", "end": "end_char"})
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +60,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether decoding gives the text back."""
-    found = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES_FILE)
-    return pieces.digest(found, PIECES_FILE)
+    found = pieces.encode_checked(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES_FILE)
+    return found.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "restored")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -161,5 +163,5 @@ n AS (SELECT doc_id, unit, pos + length(x) - length(regexp_replace(x, '^\s+', ''
              array_to_string(list_filter(regexp_split_to_array(lower(x), '\s+'), lambda w: w <> ''), ' ') AS k FROM p),
 f AS (SELECT *, first_value(doc_id) OVER w AS first_doc_id, first_value(unit) OVER w AS first_unit FROM n WHERE len(string_split(k, ' ')) >= 6
       WINDOW w AS (PARTITION BY k ORDER BY doc_id, unit))
-SELECT doc_id, unit, start, "end", first_doc_id, first_unit FROM f WHERE (doc_id, unit) <> (first_doc_id, first_unit)""",
+SELECT doc_id, unit, start AS start_char, "end" AS end_char, first_doc_id, first_unit FROM f WHERE (doc_id, unit) <> (first_doc_id, first_unit)""",
 }
