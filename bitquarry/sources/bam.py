@@ -10,7 +10,9 @@
   what stands before it, ``RESYNC`` goes on at the next block;
 * ``required``, ``forbidden``: a mask (flag literals) applied while parsing;
 * ``blocks``: block ids to read, comma-separated, all others are not opened;
-* ``partition_bytes``: compressed bytes of a partition (32 MiB).
+* ``partition_bytes``: compressed bytes of a partition (32 MiB);
+* ``push``: take pushed-down filters; only for sessions that push to Python
+  sources (``read`` sets it by the session).
 
 A block is a member of the compressed file, and its id the member's byte offset.
 The driver walks the headers only.  A record belongs to the block in which it
@@ -24,13 +26,13 @@ from __future__ import annotations
 import struct
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.types import StructType
 
 from ..functions.flags import Mask, parse_flag
@@ -234,6 +236,7 @@ class BamReader(DataSourceReader):
         self.size = int(options.get("partition_bytes", 32 << 20))
         wanted = options.get("blocks")
         self.wanted = None if wanted is None else frozenset(int(x) for x in wanted.split(",") if x)
+        self.flags: frozenset[int] | None = None
         self.schema = schema
 
     def partitions(self) -> list[InputPartition]:
@@ -300,11 +303,26 @@ class BamReader(DataSourceReader):
                 return
             if size >= 16 and not refused:
                 (flag,) = struct.unpack_from("<H", s.data, at + 18)
-                if flag & required == required and not flag & forbidden and (part.wanted is None or block in part.wanted):
+                if flag & required == required and not flag & forbidden and (self.flags is None or flag in self.flags) and (part.wanted is None or block in part.wanted):
                     yield block, flag, s.data[at + 4 : at + 4 + size]
             at += 4 + size
 
 
+class PushingBamReader(BamReader):
+    """For sessions that push filters to Python sources; Spark refuses such a reader in others."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
+        """Equality and membership of flags and blocks are done here, the rest is left to Spark."""
+        for f in filters:
+            values = frozenset([f.value]) if isinstance(f, EqualTo) else frozenset(f.value) if isinstance(f, In) else None
+            if values is None or f.attribute not in (("flag",), ("block_id",)):
+                yield f
+            elif f.attribute == ("flag",):
+                self.flags = values if self.flags is None else self.flags & values
+            else:
+                self.wanted = values if self.wanted is None else self.wanted & values
+
+
 def _fields(path: str, block: int, flag: int, body: bytes) -> tuple:
     tid, pos, named, mapq, _, n, _, bases, mtid, mpos, size = struct.unpack_from("<iiBBHHHiiii", body.ljust(32, b"\0"))
     at = 32 + named
@@ -344,12 +362,14 @@ class BamDataSource(DataSource):
         return {"flag": FLAG_SCHEMA, "count": COUNT_SCHEMA}.get(self.options.get("columns", "record").lower(), RECORD_SCHEMA)
 
     def reader(self, schema: StructType) -> BamReader:
-        return BamReader(dict(self.options), schema)
+        kind = PushingBamReader if self.options.get("push", "false").lower() == "true" else BamReader
+        return kind(dict(self.options), schema)
 
 
 def read(spark: SparkSession, path: str, **options: str | int) -> DataFrame:
     spark.dataSource.register(BamDataSource)
-    found = spark.read.format("bam").option("path", path)
+    push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    found = spark.read.format("bam").option("path", path).option("push", push)
     for key, value in options.items():
         found = found.option(key, str(value))
     return found.load()

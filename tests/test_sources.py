@@ -61,6 +61,18 @@ def test_normal(spark, tmp_path):
     assert bam.blocks(spark, str(path)).count() == 22
 
 
+def test_pushed_filters(spark, tmp_path):
+    path = write(tmp_path / "a.bam", block(HEADER), *(block(b"".join(record(f) for f in range(k, k + 5))) for k in range(4)), END)
+    starts = [at for at, _ in bam.discover_blocks(str(path))]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = bam.read(spark, str(path), columns="flag")
+        for f, n in ((F.col("flag").isin(3, 6), 6), (F.col("block_id") == starts[1], 5), ((F.col("flag") == 2) & F.col("block_id").isin(starts[1:3]), 2), (F.col("flag") > 5, 3)):
+            assert df.filter(f).count() == n
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+
+
 def test_edge_files(spark, tmp_path):
     for name, parts in {"empty": [], "end": [END], "head": [block(HEADER)], "head_end": [block(HEADER), END]}.items():
         assert flags(spark, write(tmp_path / name, *parts)) == Counter(), name
