@@ -19,7 +19,8 @@ they affect speed alone.  The index and the answers cover every vector.
 Results for odd input: rows with a null id, or a null or empty vector, or one
 with a null or non-finite component take no part; vectors of different length
 are not compared; rows with the query's id are its own row; other rows that
-share an id are ranked each; equal scores go to the smaller id; a table without
+share an id are ranked each; of several query rows of one id the one with the
+greatest vector (in the order of arrays) is asked; equal scores go to the smaller id; a table without
 queries or candidates gives no rows; other columns are ignored.  Scores beyond
 a long's range become its limit.
 """
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, small_batches
 from .vectors import distances, padded, usable
 
 SAMPLE = 4096
@@ -153,7 +154,9 @@ def exact_topk(
     vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: float = SCALE, pivots: int = PIVOTS, block: int = BLOCK, query_block: int = QUERY_BLOCK
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` highest products over all vectors but its own."""
-    rows, asked = usable(vectors, key, vector), usable(queries, key, vector)
+    small_batches(vectors.sparkSession)
+    rows = usable(vectors, key, vector)
+    asked = usable(queries, key, vector).groupBy("id").agg(F.max("v").alias("v"))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.floor(x * scale).cast("double") * F.floor(x * scale).cast("double"))
     most = F.array_max(F.transform("v", lambda x: F.abs(x)))
     stats = rows.unionAll(asked).agg(F.max(F.size("v")).alias("width"), F.max(square).alias("top"), F.max(most).alias("most")).first()

@@ -194,6 +194,9 @@ def test_vectors_odd(spark):
     df = spark.createDataFrame([(None, [1.0, 2.0], 0), (5, [1.0, 2.0], 0), (5, [1.0, 2.0], 0), (6, None, 0)], VECTORS).withColumn("id", F.lit("x")).withColumn("v", F.lit(1))
     assert sorted(map(repr, map(tuple, cover_tree.with_links(df).collect()))) == ["(5, 1, 5, True)", "(5, 1, 5, True)", "(6, 0, 6, True)", "(None, 0, None, True)"]
     assert topk.exact_topk(df, df).count() == 0
+    twice = spark.createDataFrame([(0, [1.0], 0), (0, [3.0], 0), (0, [3.0], 0), (1, [2.0], 0), (1, [2.0], 0)], VECTORS)
+    got = topk.exact_topk(twice, twice.filter("vec_id = 0"), 3).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, 3072 * 2048), (0, 2, 1, 3072 * 2048)]
     one = spark.createDataFrame([(0, [1.0], 0), (1, [2.0], 0)], VECTORS)
     assert [tuple(r) for r in topk.exact_topk(one, one.filter("vec_id = 0"), 10).collect()] == [(0, 1, 1, 1024 * 2048)]
 

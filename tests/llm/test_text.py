@@ -198,6 +198,8 @@ def test_mixing_odd(odd, empty):
     t = mixing.Target(repeats=3.0, budget=None)
     plan = mixing.plan(odd, t)
     assert plan.count() == odd.count() and plan.filter("copies < 1").count() == 0
+    unknown = odd.withColumn("source", F.when(F.col("doc_id") > 4, F.col("source")))
+    assert mixing.plan(unknown, t).filter("source is null").count() == unknown.filter("source is null").count() > 0
     assert mixing.mix(odd, t).columns == odd.columns and mixing.mix(empty, t).count() == 0
     with pytest.raises(ValueError):
         mixing.solve({"a": 1}, mixing.Target())
