@@ -6,11 +6,15 @@ have any others.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable
 from typing import Any, TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +50,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Lower the session's Arrow batches from Spark's default of 64 MB, for rows that hold whole blocks.
+    """Lower the session's Arrow batches from Spark's default of 64 MB, for rows that hold whole blocks or texts.
 
     A session that sets another size keeps it.
     """
@@ -66,10 +70,19 @@ def worker_state(key: Hashable, make: Callable[[], T]) -> T:
     """
     if key not in _STATE:
         _STATE.clear()
+        give_back()
         _STATE[key] = make()
     return _STATE[key]
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system, as far as the allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not the GNU C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 
 #: Where a unit ends.
 CUTS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n(?:[^\S\n]*\n)+"), "sentence": re.compile(r"\n|[.!?](?= )")}
@@ -76,6 +76,7 @@ def _hashed(batches: Iterator[pa.RecordBatch], kind: str, min_words: int) -> Ite
 
 def duplicates(docs: DataFrame, kind: str = "sentence", min_words: int = 6) -> DataFrame:
     """One row per unit to remove: ``doc_id, unit, start, end, first_doc_id, first_unit``."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), text_or_empty().alias("text"))
     found = rows.mapInArrow(lambda it: _hashed(it, kind, min_words), _UNITS)
     place = F.struct("doc_id", "unit")

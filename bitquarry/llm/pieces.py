@@ -241,7 +241,7 @@ def chunks_of(m: Model, text: str, chunk: int) -> list[tuple[str, int, int, list
     return out
 
 
-def _groups(texts: list[str], most: int = 2_000_000) -> Iterator[list[str]]:
+def _groups(texts: Iterable[str], most: int = 500_000) -> Iterator[list[str]]:
     held: list[str] = []
     size = 0
     for t in texts:
@@ -294,7 +294,7 @@ def encode_checked(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame
 
 def _encoded(model: str, texts: Iterable[str]) -> Iterator[bytes]:
     m = model_of(model)
-    for g in _groups([m.prepared(t) for t in texts]):
+    for g in _groups((m.prepared(t) for t in texts)):
         yield from m.encode(g)
 
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, text_or_empty, worker_state
+from .common import fresh_path, small_batches, text_or_empty, worker_state
 
 SEQ_LEN = 2048
 BATCH_ROWS = 256
@@ -190,6 +190,7 @@ def write_token_files(
     files, so reading it never writes them again.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     fs, root = pafs.FileSystem.from_uri(path)
     fs.create_dir(f"{root}/data", recursive=True)
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, worker_state
+from .common import small_batches, text_or_empty, worker_state
 
 SAMPLE = 6000
 FEATURES = 512
@@ -140,6 +140,7 @@ def _descend(row: np.ndarray, column: np.ndarray, width: int, grade: np.ndarray)
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, most: int = FEATURES) -> Model:
     """Fit on a bounded sample of the labelled documents."""
+    small_batches(docs.sparkSession)
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
     picked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
@@ -157,6 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
 
 
 def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    small_batches(docs.sparkSession)
     name = repr(sorted(model.weights.items())).encode() + model.thresholds.tobytes()
     key = xxhash.xxh3_128_digest(name)
 
