@@ -27,6 +27,10 @@ def write_records(records: DataFrame, path: str, blocks_per_bucket: int) -> None
 
 def view(spark: SparkSession, path: str, index: DataFrame, mask: Mask, blocks_per_bucket: int) -> DataFrame:
     """Matching records of a table that ``write_records`` stored."""
-    stored = spark.read.parquet(path)
+    return view_of(spark.read.parquet(path), index, mask, blocks_per_bucket)
+
+
+def view_of(stored: DataFrame, index: DataFrame, mask: Mask, blocks_per_bucket: int) -> DataFrame:
+    """The same of a table that is open already, whose files need no listing again."""
     wanted = blocks_for(index, mask).withColumn("bucket", bucket_of(blocks_per_bucket))
     return mask.apply(stored).join(wanted, ["bucket", "block_id"], "left_semi").drop("bucket")
