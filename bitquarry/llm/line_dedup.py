@@ -5,8 +5,12 @@ Units are lines, paragraphs (runs of lines without an empty one) or sentences
 passages pasted into the middle of a line.  A unit is normalised (lower case,
 white space runs as one space) and hashed to 128 bits; digests are grouped over
 the whole corpus with the least ``(doc_id, unit)`` as the earliest occurrence.
-Units of fewer than ``min_words`` words are left alone.  Offsets count code
-points of the original text, ends are exclusive.
+Units of fewer than ``min_words`` words are left alone.  Kind ``all`` takes
+lines and paragraphs of any length and sentences of at least ``min_words``
+words, each span once and all in one pool, so a line that stands as a sentence
+elsewhere meets it; spans of it may lie within others, and ``remove`` cuts
+their union.  Offsets count code points of the original text, ends are
+exclusive.
 
 Digests are aggregated before they are shuffled, so a line of a third of all
 documents is one row per task; only digests that repeat are joined back, in a
@@ -54,6 +58,15 @@ def units(text: str, kind: str) -> list[tuple[int, int]]:
     return out
 
 
+def _numbered(text: str, kind: str) -> list[tuple[int, int, bool]]:
+    """Start and end of each unit, and whether the least number of words holds for it."""
+    if kind != "all":
+        return [(low, high, True) for low, high in units(text, kind)]
+    whole = {*units(text, "line"), *units(text, "paragraph")}
+    spans = sorted(whole.union(units(text, "sentence")), key=lambda s: (s[0], -s[1]))
+    return [(low, high, (low, high) not in whole) for low, high in spans]
+
+
 def _hashed(batches: Iterator[pa.RecordBatch], kind: str, min_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs, numbers, starts, ends, digests = [], [], [], [], []
@@ -61,9 +74,9 @@ def _hashed(batches: Iterator[pa.RecordBatch], kind: str, min_words: int) -> Ite
             text = value.as_py()
             if not text:
                 continue
-            for number, (low, high) in enumerate(units(text, kind)):
+            for number, (low, high, floor) in enumerate(_numbered(text, kind)):
                 words = text[low:high].lower().split()
-                if len(words) >= min_words:
+                if len(words) >= (min_words if floor else 1):
                     docs.append(doc)
                     numbers.append(number)
                     starts.append(low)
@@ -87,7 +100,7 @@ def duplicates(docs: DataFrame, kind: str = "sentence", min_words: int = 6) -> D
 
 
 def remove(docs: DataFrame, kind: str = "sentence", min_words: int = 6) -> DataFrame:
-    """The documents without repeated units; ``removed`` has their (start, end) in the original text."""
+    """The documents without repeated units; ``removed`` has the (start, end) of each in the original text."""
     spans = duplicates(docs, kind, min_words).groupBy(F.col("doc_id").alias("__bq_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
     joined = docs.drop("removed").join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("__bq_id")), "left").drop("__bq_id")
 
@@ -102,8 +115,9 @@ def remove(docs: DataFrame, kind: str = "sentence", min_words: int = 6) -> DataF
                 continue
             kept, at = [], 0
             for span in gone:
-                kept.append(text[at : span["start"]])
-                at = span["end"]
+                if span["end"] > at:
+                    kept.append(text[at : span["start"]])
+                    at = span["end"]
             out.append("".join([*kept, text[at:]]))
         return pd.Series(out, dtype=object)
 

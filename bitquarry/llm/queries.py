@@ -34,6 +34,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"start": "start_char", "end": "end_char"})
 
 
+def op4_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and paragraphs of any length beside the sentences of ``op4_line_dedup``."""
+    found = line_dedup.duplicates(table(spark, sf_dir, "documents"), kind="all", min_words=6)
+    return found.withColumnsRenamed({"start": "start_char", "end": "end_char"})
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
     "op3_licenses": op3_licenses,
     "op4_line_dedup": op4_line_dedup,
+    "op4_line_dedup_whole": op4_line_dedup_whole,
     "op5_toxicity": op5_toxicity,
     "op6_cover_tree": op6_cover_tree,
     "op7_token_files": op7_token_files,

@@ -111,6 +111,36 @@ def test_line_dedup_against_brute_force(spark):
     assert set(map(tuple, line_dedup.duplicates(docs, "line", 3).collect())) == want and want
 
 
+def test_line_dedup_whole(make, odd, empty):
+    """Short lines, and long lines of short sentences, repeat too."""
+    given = [(1, f"All rights reserved.\nNo. Yes. Maybe so. Not at all. Go on.\n{LONG}. Then x."), (2, f"x\nall rights  reserved.\nNo. Yes. Maybe so. Not at all. Go on.\nGo on. {LONG}."), (3, "All rights\nreserved.")]
+    docs = make(given)
+    rows = {(r["doc_id"], r["start"], r["end"]) for r in line_dedup.duplicates(docs, "all").collect()}
+    second, third = given[1][1], given[2][1]
+    cut = lambda text, doc: {text[s:e] for d, s, e in rows if d == doc}
+    assert cut(second, 2) == {"all rights  reserved.", "No. Yes. Maybe so. Not at all. Go on.", f"{LONG}."} and cut(third, 3) == {third}
+    texts = {r["doc_id"]: r["text"] for r in line_dedup.remove(docs, "all").collect()}
+    assert texts[1] == given[0][1] and texts[2] == "x\n\n\nGo on. " and texts[3] == ""
+    nested = {r["doc_id"]: r["text"] for r in line_dedup.remove(make([(1, f"{LONG}. {LONG} x. tail"), (2, f"a\n{LONG}. {LONG} x. tail\nb")]), "all").collect()}
+    assert nested[2] == "a\n\nb"  # the sentences of a repeated line go with it, once
+    assert line_dedup.duplicates(empty, "all").count() == 0 and line_dedup.remove(odd, "all").count() == odd.count()
+
+
+def test_line_dedup_whole_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    first, want, short = {}, set(), 0
+    for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
+        t = r["text"]
+        whole = {*line_dedup.units(t, "line"), *line_dedup.units(t, "paragraph")}
+        for low, high in sorted(whole | {x for x in line_dedup.units(t, "sentence") if len(t[slice(*x)].split()) >= 6}):
+            w = t[low:high].lower().split()
+            if w and first.setdefault(tuple(w), (r["doc_id"], low)) != (r["doc_id"], low):
+                want.add((r["doc_id"], low, high, first[tuple(w)][0]))
+                short += len(w) < 6
+    got = {(r["doc_id"], r["start"], r["end"], r["first_doc_id"]) for r in line_dedup.duplicates(docs, "all").collect()}
+    assert got == want and short
+
+
 def test_licenses(spark, make, odd, empty):
     apache = licenses.TEMPLATES["Apache-2.0-header"]
     changed = apache.replace("writing", "paper")
