@@ -11,7 +11,7 @@ similarity of at least 1 / WINDOW and collides in some band with probability
 
 A retrieved template is verified exactly: a stretch of the document no longer
 than ``SPREAD`` times the template must contain at least ``threshold`` of the
-template's distinct shingles.  Windows without any template shingle cannot
+template's distinct shingles, and all shingles of the words in ``NEEDS``.  Windows without any template shingle cannot
 verify and are passed over before hashing.  Whole texts are scanned.
 
 Results for odd input: a null or empty text, or one of fewer than five words,
@@ -45,10 +45,6 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
-    "GPL-2.0-or-later-header": (
-        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License "
-        "as published by the Free Software Foundation"
-    ),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "MIT": "Released under the MIT License",
     "MIT-permission": (
@@ -58,6 +54,99 @@ TEMPLATES: dict[str, str] = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
 
+_GNU = (
+    "This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} "
+    "as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
+)
+
+#: Standard headers of the GNU licences: the work's word, the licence's name, the version.
+_GNU_HEADERS = {
+    "GPL-2.0-or-later-header": ("program", "General Public License", "2"),
+    "GPL-3.0-or-later-header": ("program", "General Public License", "3"),
+    "LGPL-2.0-or-later-header": ("library", "Library General Public License", "2"),
+    "LGPL-2.1-or-later-header": ("library", "Lesser General Public License", "2.1"),
+    "LGPL-3.0-or-later-header": ("program", "Lesser General Public License", "3"),
+    "AGPL-3.0-or-later-header": ("program", "Affero General Public License", "3"),
+}
+TEMPLATES |= {key: _GNU.format(what=what, name=name, version=version) for key, (what, name, version) in _GNU_HEADERS.items()}
+
+#: Words that a match must hold whole: they alone keep these headers apart.
+NEEDS: dict[str, list[str]] = {
+    key: [f"of the GNU {name}", f"either version {version} of the License"] for key, (_, name, version) in _GNU_HEADERS.items()
+}
+TEMPLATES["GPL-1.0-or-later-header"] = TEMPLATES["GPL-2.0-or-later-header"].replace("version 2 of the License,", "version 1,")
+NEEDS["GPL-1.0-or-later-header"] = ["of the GNU General Public License", "Foundation; either version 1, or"]
+NEEDS["GPL-2.0-title"] = NEEDS["GPL-3.0-title"] = ["GNU GENERAL PUBLIC LICENSE Version"]
+
+#: Titles stand at the head of the licences' full texts, the other notices in their files and pages.
+TEMPLATES |= {
+    "AGPL-3.0-notice": "GNU Affero General Public License version 3",
+    "AGPL-3.0-notice-v": "GNU Affero General Public License v3.0",
+    "AGPL-3.0-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "Apache-2.0-header-grant": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+    "Apache-2.0-notice": "Licensed under the Apache License 2.0",
+    "Apache-2.0-notice-released": "Released under the Apache License 2.0",
+    "Apache-2.0-notice-released-version": "Released under the Apache License, Version 2.0",
+    "Apache-2.0-title": "Apache License Version 2.0, January 2004",
+    "Artistic-1.0": "The intent of this document is to state the conditions under which a Package may be copied",
+    "Artistic-2.0-title": "The Artistic License 2.0 Copyright",
+    "BSD-2-Clause-notice": "licensed under the BSD 2-Clause License",
+    "BSD-3-Clause-notice": "licensed under the BSD 3-Clause License",
+    "BSD-notice-style": "governed by a BSD-style license that can be found in the LICENSE file",
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+        "documentation covered by this license"
+    ),
+    "BSL-1.0-notice": "Distributed under the Boost Software License, Version 1.0",
+    "BSL-1.0-title": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "CC-BY-3.0": "licensed under a Creative Commons Attribution 3.0",
+    "CC-BY-4.0-notice": "Licensed under CC BY 4.0",
+    "CC-BY-NC-ND-4.0": "licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+    "CC-BY-NC-ND-4.0-notice": "Licensed under CC BY-NC-ND 4.0",
+    "CC-BY-NC-SA-4.0": "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "CC-BY-NC-SA-4.0-notice": "Licensed under CC BY-NC-SA 4.0",
+    "CC-BY-NC-4.0-long": "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "CC-BY-ND-4.0": "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "CC-BY-ND-4.0-notice": "Licensed under CC BY-ND 4.0",
+    "CC-BY-SA-3.0": "licensed under a Creative Commons Attribution-ShareAlike 3.0",
+    "CC-BY-SA-4.0-long": "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC0-1.0": "waived all copyright and related or neighboring rights to",
+    "CC0-1.0-purpose": "The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights",
+    "CC0-1.0-title": "CC0 1.0 Universal (CC0 1.0) Public Domain Dedication",
+    "EPL-1.0": "made available under the terms of the Eclipse Public License v1.0",
+    "EPL-2.0": "made available under the terms of the Eclipse Public License 2.0",
+    "GFDL": "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License",
+    "GPL-1.0-title": "GNU GENERAL PUBLIC LICENSE Version 1, February 1989",
+    "GPL-2.0-notice": "GNU General Public License version 2",
+    "GPL-2.0-notice-v": "GNU General Public License v2.0",
+    "GPL-2.0-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3.0-notice": "GNU General Public License version 3",
+    "GPL-3.0-notice-v": "GNU General Public License v3.0",
+    "GPL-3.0-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "ISC-notice": "Licensed under the ISC License",
+    "ISC-notice-released": "Released under the ISC License",
+    "LGPL-2.0-title": "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "LGPL-2.1-notice": "GNU Lesser General Public License version 2.1",
+    "LGPL-2.1-notice-v": "GNU Lesser General Public License v2.1",
+    "LGPL-2.1-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "LGPL-3.0-notice": "GNU Lesser General Public License version 3",
+    "LGPL-3.0-notice-v": "GNU Lesser General Public License v3.0",
+    "LGPL-3.0-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "MIT-notice": "Licensed under the MIT License",
+    "MIT-notice-distributed": "Distributed under the MIT License",
+    "MIT-notice-available": "available under the MIT License",
+    "MIT-notice-terms": "under the terms of the MIT License",
+    "MPL-1.1-title": "Mozilla Public License Version 1.1",
+    "MPL-2.0-title": "Mozilla Public License Version 2.0",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "WTFPL": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+}
+
 SHINGLE = 5
 WINDOW = 8
 STEP = 4
@@ -100,6 +189,11 @@ class Scanner:
 
     def __init__(self, templates: Mapping[str, str], threshold: float):
         self.threshold = threshold
+        self.needs = {
+            name: np.unique(np.concatenate([_shingles(_WORD.findall(need.lower())) for need in NEEDS[name]]))
+            for name, text in templates.items()
+            if text == TEMPLATES.get(name) and name in NEEDS
+        }
         self.templates = {name: np.unique(_shingles(_WORD.findall(text.lower()))) for name, text in templates.items()}
         self.lengths = {name: max(1, len(_WORD.findall(text)) - SHINGLE + 1) for name, text in templates.items()}
         self.table: dict[tuple[int, int], set[str]] = {}
@@ -139,7 +233,7 @@ class Scanner:
             while i < len(at):
                 stretch = at[i : np.searchsorted(at, at[i] + wide)]
                 share = len(np.unique(s[stretch])) / len(own)
-                if share < self.threshold:
+                if share < self.threshold or name in self.needs and not np.isin(self.needs[name], s[stretch]).all():
                     i += 1
                     continue
                 # The first places that hold all of these shingles, without repeats before or after.

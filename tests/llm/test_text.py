@@ -155,6 +155,20 @@ def test_licenses(spark, make, odd, empty):
     assert 1 - (1 - 1 / licenses.WINDOW) ** licenses.BANDS > 0.99999 and licenses.bands_for(0.5, 0.999) == 10
 
 
+def test_license_wordings_and_versions():
+    """Each notice is found under its own key, and no header under that of another licence or version."""
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    found = {key: {m[0] for m in scanner.scan(f"word {text} word")} for key, text in licenses.TEMPLATES.items()}
+    assert [key for key in found if key not in found[key]] == []
+    number = lambda key: tuple(re.match(r"(.*?)(?:-(\d[.\d]*))?(?:-(?!\d).*)?$", key).groups())
+    assert [(key, other) for key in found for other in found[key] if number(other) != number(key)] == []
+    for key in licenses._GNU_HEADERS:
+        assert found[key] == {key}
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    for text, want in ((gpl, "GPL-3.0-or-later-header"), (gpl.replace("GNU", "GNU Lesser"), "LGPL-3.0-or-later-header"), (gpl.replace("GNU", "GNU Affero"), "AGPL-3.0-or-later-header"), ("it is Licensed under the MIT License.", "MIT-notice")):
+        assert [m[0] for m in scanner.scan(text)] == [want]
+
+
 def test_licenses_against_brute_force(spark):
     """Templates whose shingles a stretch contains, tried at every place of every document."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
