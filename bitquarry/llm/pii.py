@@ -10,6 +10,10 @@ plain pattern would try every start within a long run; they match what the
 plain ones match.  Start offsets come from the gaps between matches: a
 prefix sum by doubling steps, so documents with many matches stay cheap.
 
+Context words are searched within ``CONTEXT_CHARS`` of the text on both sides
+(``redact``, and ``detect`` with ``whole_context``); without it ``detect`` ends
+the window at the neighbouring matches of the kind.
+
 Results for odd input: a null or empty text has no spans; repeated rows each
 get their row; an empty table gives an empty result.  Columns that are added
 replace equally named ones of the input (case-insensitively); the rest of the
@@ -115,17 +119,24 @@ def _quoted(value: str) -> str:
     return "r'" + value + "'"
 
 
-def _spans(kind: Kind) -> tuple[str, str]:
+def _spans(kind: Kind, whole_context: bool) -> tuple[str, str]:
     """SQL for the ends and the spans of the kind's matches ``_m_<kind>``, between gaps ``_g_<kind>``."""
     m, g = f"`__bq_m_{kind.name}`", f"`__bq_g_{kind.name}`"
     steps = f"transform(sequence(0, int(floor(log2(size({m}))))), k -> shiftleft(1, k))"
     lengths = f"transform({m}, (x, i) -> length(x) + length({g}[i]))"
     ends = f"aggregate({steps}, {lengths}, (acc, d) -> transform(acc, (x, i) -> x + if(i >= d, acc[i - d], 0)))"
     n = CONTEXT_CHARS
-    near = (
-        f"case when right({g}[i], {n}) rlike {_quoted(kind.context)} or left({g}[i + 1], {n}) rlike {_quoted(kind.context)} "
-        f"then {CONTEXT_BONUS}D else 0D end"
-    )
+    words = _quoted(kind.context)
+    close = f"right({g}[i], {n}) rlike {words} or left({g}[i + 1], {n}) rlike {words}"
+    if whole_context:
+        # No match is shorter than two characters, so n / 2 neighbours fill the window.
+        back = f"greatest(i - {n // 2}, 0)"
+        before = f"transform(slice({m}, {back} + 1, i - {back}), (y, k) -> concat(right({g}[{back} + k], {n}), right(y, {n})))"
+        after = f"transform(slice({m}, i + 2, {n // 2}), (y, k) -> concat(left(y, {n}), left({g}[i + 2 + k], {n})))"
+        before = f"right(concat(array_join({before}, ''), right({g}[i], {n})), {n}) rlike {words}"
+        after = f"left(concat(left({g}[i + 1], {n}), array_join({after}, '')), {n}) rlike {words}"
+        close = f"{kind.valid.format(x='x')} and ({close} or length({g}[i]) < {n} and {before} or length({g}[i + 1]) < {n} and {after})"
+    near = f"case when {close} then {CONTEXT_BONUS}D else 0D end"
     found = (
         f"filter(transform({m}, (x, i) -> named_struct('kind', '{kind.name}', 'start', `__bq_e_{kind.name}`[i] - length(x), 'end', `__bq_e_{kind.name}`[i], "
         f"'text', x, 'score', least(1D, {kind.score}D + {near}))), s -> {kind.valid.format(x='s.text')} and s.score >= {kind.least}D)"
@@ -140,7 +151,7 @@ def _where_empty(name: str, sql: str, kind: str) -> str:
 SPAN = "array<struct<kind:string,start:int,end:int,text:string,score:double>>"
 
 
-def detect(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
+def detect(docs: DataFrame, text: str = "text", out: str = "pii", whole_context: bool = False) -> DataFrame:
     """Add ``out``: an array of (kind, start, end, text, score), by kind as in ``KINDS``, then start."""
     df = docs.withColumn("__bq_t", F.coalesce(F.col(text).cast("string"), F.lit("")))
     df = df.withColumns(
@@ -150,8 +161,8 @@ def detect(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
         }
     )
     df = df.withColumns({f"__bq_g_{k.name}": F.expr(_where_empty(k.name, f"split(__bq_t, {_quoted(k.pattern)}, -1)", "array<string>")) for k in KINDS})
-    df = df.withColumns({f"__bq_e_{k.name}": F.expr(_where_empty(k.name, _spans(k)[0], "array<int>")) for k in KINDS})
-    df = df.withColumns({f"__bq_s_{k.name}": F.expr(_where_empty(k.name, _spans(k)[1], SPAN)) for k in KINDS})
+    df = df.withColumns({f"__bq_e_{k.name}": F.expr(_where_empty(k.name, _spans(k, whole_context)[0], "array<int>")) for k in KINDS})
+    df = df.withColumns({f"__bq_s_{k.name}": F.expr(_where_empty(k.name, _spans(k, whole_context)[1], SPAN)) for k in KINDS})
     df = df.withColumn(out, F.concat(*[F.col(f"__bq_s_{k.name}") for k in KINDS]))
     return df.drop("__bq_t", *[f"__bq_{p}_{k.name}" for k in KINDS for p in "mges"])
 
@@ -174,7 +185,7 @@ def redact(docs: DataFrame, text: str = "text", tag: str = "[PII]") -> DataFrame
     """
     steps = "transform(sequence(0, int(floor(log2(size(__bq_p))))), k -> shiftleft(1, k))"
     reach = f"aggregate({steps}, transform(__bq_p, s -> s.end), (acc, d) -> transform(acc, (x, i) -> if(i >= d, greatest(x, acc[i - d]), x)))"
-    df = detect(docs, text, "__bq_pii")
+    df = detect(docs, text, "__bq_pii", whole_context=True)
     df = df.withColumn("__bq_p", F.expr("array_sort(transform(__bq_pii, s -> named_struct('start', s.start, 'end', s.end)))"))
     df = df.withColumn("__bq_r", F.expr(f"if(size(__bq_p) > 0, {reach}, cast(array() as array<int>))"))
     df = df.withColumn("__bq_f", F.expr("filter(transform(__bq_p, (s, i) -> if(i = 0 or s.start >= __bq_r[i - 1], i, -1)), i -> i >= 0)"))

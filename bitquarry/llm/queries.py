@@ -20,6 +20,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op1_pii_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context words of the whole window, where ``op1_pii`` ends it at neighbouring matches."""
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), whole_context=True))
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.exact_topk(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
@@ -72,6 +77,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op1_pii_whole": op1_pii_whole,
     "op2_topk": op2_topk,
     "op3_licenses": op3_licenses,
     "op4_line_dedup": op4_line_dedup,

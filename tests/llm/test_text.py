@@ -81,6 +81,18 @@ def test_pii_scores(make):
     assert score[1] > score[2]
 
 
+def test_pii_whole_context(make):
+    """Neighbouring matches of a kind do not shorten the window of context words."""
+    texts = ["SSNs: 123-45-6789, 223-45-6789, 323-45-6789", "123-45-6789 223-45-6789 is my ssn", PII_TEXTS[4], PII_TEXTS[5], " ".join(f"{i} {i}{i}-45-6789" for i in range(10, 40)) + " 123-45-6789" * 9 + " ssn"]
+    rows = pii.detect(make(list(enumerate(texts))), whole_context=True).collect()
+    for r in rows:
+        text = texts[r["doc_id"]]
+        want = [m.span() for m in re.finditer("[0-9]{3}-[0-9]{2}-[0-9]{4}", text) if not re.match("000|666|9", m[0]) and re.search("(?i)ssn|social|security|taxpayer", text[max(0, m.start() - 40) : m.start()] + "\n" + text[m.end() : m.end() + 40])]
+        assert [(s["start"], s["end"]) for s in r["pii"] if s["kind"] == "ssn"] == want, r["doc_id"]
+    redacted = {r["doc_id"]: r["text"] for r in pii.redact(make(list(enumerate(texts)))).collect()}
+    assert redacted[0] == "SSNs: [PII], [PII], [PII]" and redacted[1] == "[PII] [PII] is my ssn"
+
+
 LONG = "one two three four five six seven"
 
 
