@@ -11,9 +11,10 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 from typing import Any, TypeVar
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
     It is the session's ``spark.checkpoint.dir``, else the context's
-    checkpoint folder; a temporary folder is set only where neither is (local
-    tests).
+    checkpoint folder; a temporary folder is set only where neither is and the
+    master is local (tests), as other machines would not see it.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="bitquarry-"))
         found = sc.getCheckpointDir()
     if not sc.getCheckpointDir():
@@ -43,6 +46,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path below the shared folder, by Hadoop's file systems."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)  # noqa: SLF001
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage into the shared folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
@@ -59,6 +68,24 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
         spark.conf.set(key, size)
 
 
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The batches again, cut so that rows with equal ``key``, which follow each other, stay together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(key).to_numpy()
+        if held and k[-1] == held[-1].column(key)[0].as_py() and k[0] == k[-1]:
+            held.append(batch)
+            continue
+        cut = int(np.flatnonzero(k != k[-1])[-1]) + 1 if k[0] != k[-1] else 0
+        if cut or held:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)] if cut else held)
+        held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 _STATE: dict[Hashable, Any] = {}
 
 

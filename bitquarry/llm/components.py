@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
 
 
+def forest(rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
+    """Component labels of ``n`` vertices joined by (rows, cols)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[rows], label[cols])
+        new = label.copy()
+        np.minimum.at(new, label[rows], low)
+        np.minimum.at(new, label[cols], low)
+        while (new != new[new]).any():
+            new = new[new]
+        new = new[label]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """``id, component`` of every end of ``edges(a, b)``; the component is its smallest id.
 

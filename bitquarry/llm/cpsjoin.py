@@ -11,22 +11,35 @@ trees with about 5e-8.  Nodes of at most ``SMALL`` documents are compared
 exhaustively by sketch; larger ones branch again, ``DEPTH`` levels deep; a node
 that is still large holds documents with that many equal minwise values and
 passes as a whole.  A sketch pair is a candidate from ``AGREE`` equal values on,
-which a pair at the threshold misses with about 1e-8.
+which a pair at the threshold misses with about 1e-8.  These settings are made
+for ``LEAST_PERCENT``; lower thresholds are refused.
 
 Candidates are kept as a spanning forest, and their components are clusters:
-every link lies within one, whatever the cluster's size, and each clustered
-document's full set is then read once.  Within a cluster exact intersections
-come from posting lists; pairs already connected need no check, so it is enough
-to compare every document outside the largest component with all others.
-Clusters of more than ``BLOCK`` shingles are cut into blocks and all pairs of
-blocks, so that a task stays bounded; nothing is capped or sampled.
-
-Equal sets are one representative, so thousands of copies cost a row each.
+every link lies within one.  Each clustered document's full set is read once,
+and exact intersections come from posting lists; pairs already connected need
+no check, so it is enough to compare every document outside the largest
+component with all others.  A cluster of at most ``BLOCK`` shingles is one
+task.  In a larger one, which may be a chain of weak candidates, only documents
+that share a node are compared: a task for each small node, and pairs of blocks
+of at most about ``BLOCK`` shingles for each node that stayed large, so a task
+stays bounded and a long chain costs no more than its nodes.  Nothing is capped
+or sampled.
+
+Equal sets are one vertex with a number of its own, so thousands of copies cost
+a row each.  Nodes with so many members that they would be hot keys are at most
+``HOT``, as each holds more than that part of all memberships; they are joined
+by broadcast, and all others by a shuffle.  Texts are read again only where a
+bit table of the clustered rows (at most ``2**BITS / 64`` rows, broadcast) lets
+them pass, so documents without candidates are not shuffled.
 
 Results for odd input: a null or empty text, or one without words, has the
-empty set and links with nothing, as does a row with a null id; a row's
-component is that of its own set, so rows that repeat an id each get a row; an
-empty table gives an empty result; ``classes`` returns its own columns alone.
+empty set and links with nothing, as does a row with a null id.  Vertices are
+sets, not ids: of rows that repeat an id each has the component of its own set,
+and their ids alone link nothing.  ``component_id`` is the smallest id of the
+rows in the component.  An empty table gives an empty result; ``classes``
+returns its own columns alone.  ``keep_first`` keeps of each component the one
+row that is least by id and then by text, repeated rows counting as one, and
+every row that links with nothing.
 """
 
 from __future__ import annotations
@@ -37,12 +50,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_batches, text_or_empty, worker_state
-from .components import connected
-from .cover_tree import _forest
+from .common import checkpoint, runs, small_batches, text_or_empty, worker_state
+from .components import connected, forest
 
 SKETCH = 64
 TREES = 4
@@ -52,7 +64,13 @@ SMALL = 256
 DEPTH = 3
 AGREE = 32
 BLOCK = 2_000_000
-WORDS_KEPT = 200_000
+LEAST_PERCENT = 80
+HOT = 4096
+BITS = 26
+#: What names a row: its id and its text's digests.
+ROW = ["doc_id", "h1", "h2"]
+#: Bytes of words that a worker remembers.
+WORD_BYTES = 32 << 20
 
 _MULTIPLIERS = np.random.default_rng(8).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -60,10 +78,17 @@ _MULTIPLIERS = np.random.default_rng(8).integers(0, 1 << 63, SKETCH, dtype=np.ui
 class _Hashes(dict):
     """64-bit hashes of words."""
 
+    size = 0
+
     def __missing__(self, word: bytes) -> int:
         found = self[word] = xxhash.xxh64_intdigest(word)
+        self.size += len(word) + 100
         return found
 
+    def clear(self) -> None:
+        super().clear()
+        self.size = 0
+
 
 def shingle_set(text: str, n: int) -> np.ndarray:
     """The sorted distinct hashes of the text's n-word shingles, of its one shorter sequence, or none."""
@@ -71,7 +96,7 @@ def shingle_set(text: str, n: int) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     known = worker_state("shingles", _Hashes)
-    if len(known) > WORDS_KEPT:
+    if known.size > WORD_BYTES:
         known.clear()
     w = np.array(list(map(known.__getitem__, words)), np.uint64)
     size = min(n, len(w))
@@ -101,37 +126,19 @@ def _sketches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
             rows.append(sketch(s))
         values = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), pa.int32())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * SKETCH, pa.int32()), values)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], names=["doc_id", "n", "key", "sketch"])
-
-
-def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """The batches again, cut so that rows with equal ``key``, which follow each other, stay together."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k = batch.column(key).to_numpy()
-        if held and k[-1] == held[-1].column(key)[0].as_py() and k[0] == k[-1]:
-            held.append(batch)
-            continue
-        cut = int(np.flatnonzero(k != k[-1])[-1]) + 1 if k[0] != k[-1] else 0
-        if cut or held:
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)] if cut else held)
-        held = [batch.slice(cut)]
-    if held:
-        yield pa.Table.from_batches(held)
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ROW] + [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], names=[*ROW, "n", "key", "sketch"])
 
 
 def _star(rows: np.ndarray, cols: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between places of ``ids``."""
-    label = _forest(rows, cols, len(ids))
+    label = forest(rows, cols, len(ids))
     at = np.flatnonzero(label != np.arange(len(label)))
     return ids[at], ids[label[at]]
 
 
 def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Candidates within small nodes (rows sorted by node): all pairs whose sketches and sizes allow a link."""
-    for part in _runs(batches, "node"):
+    for part in runs(batches, "node"):
         node, ids, n = (part.column(c).to_numpy() for c in ("node", "rep", "n"))
         sk = part.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, SKETCH)
         rows, cols = [], []
@@ -153,20 +160,32 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def _candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """A spanning forest ``(a, b)`` of the candidate pairs."""
+def _by_node(rows: DataFrame, facts: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` joined with ``facts``, a row per node: hot nodes by broadcast, so that none is the key of a shuffle."""
+    few = F.broadcast(hot)  # at most HOT rows
+    cold = rows.join(few, "node", "left_anti").join(facts, "node")
+    return cold.unionByName(rows.join(F.broadcast(facts.join(few, "node", "left_semi")), "node"))
+
+
+def _candidates(reps: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
+    """A spanning forest ``(a, b)`` of the candidate pairs, the members ``(node, rep)`` of small nodes, and of those that stayed large."""
     first = F.array(*[F.struct(F.xxhash64(F.lit(i), F.col("sketch")[i]).alias("node")) for i in range(TREES * BRANCHES)])
     nodes = reps.select("rep", F.explode(first).alias("x")).select("rep", "x.node")
     found: list[DataFrame] = []
+    members: list[DataFrame] = []
     for depth in range(1, DEPTH + 1):
         sizes = checkpoint(nodes.groupBy("node").count().filter("count > 1"))
-        small = nodes.join(sizes.filter(F.col("count") <= SMALL).select("node"), "node")
+        most = sizes.agg(F.sum("count")).first()[0] or 0
+        hot = sizes.filter(F.col("count") > max(SMALL, most // HOT)).select("node")
+        cold = nodes.join(F.broadcast(hot), "node", "left_anti")  # none of them is small
+        small = checkpoint(cold.join(sizes.filter(F.col("count") <= SMALL).select("node"), "node").select("node", "rep"))
+        members.append(small)
         compared = small.join(reps.select("rep", "n", "sketch"), "rep").repartition("node").sortWithinPartitions("node")
         found.append(checkpoint(compared.select("node", "rep", "n", "sketch").mapInArrow(lambda it: _compare(it, percent), "a long, b long").distinct()))
         large = sizes.filter(F.col("count") > SMALL).select("node")
         if large.isEmpty():
-            return _union(found)
-        stay = nodes.join(large, "node")
+            return _union(found), members, None
+        stay = checkpoint(_by_node(nodes, large, hot).select("node", "rep"))
         if depth == DEPTH:
             break
         at = F.pmod(F.xxhash64("node"), F.lit(SKETCH)).cast("int")
@@ -174,8 +193,8 @@ def _candidates(reps: DataFrame, percent: int) -> DataFrame:
         children = F.array(*[F.xxhash64("node", (at + i * step) % SKETCH, F.col("sketch")[(at + i * step) % SKETCH]) for i in range(LATER)])
         nodes = checkpoint(stay.join(reps.select("rep", "sketch"), "rep").select("rep", F.explode(children).alias("node")).distinct())
     lead = stay.groupBy("node").agg(F.min("rep").alias("b"))
-    found.append(stay.join(lead, "node").filter("rep <> b").select(F.col("rep").alias("a"), "b"))
-    return _union(found)
+    found.append(_by_node(stay, lead, hot).filter("rep <> b").select(F.col("rep").alias("a"), "b"))
+    return _union(found), members, stay
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -188,7 +207,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(t.as_py(), n).tobytes() for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "cluster", "blocks")] + [pa.array(sets, pa.binary())], names=["rep", "cluster", "blocks", "set"])
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "set"])
 
 
 def exact_links(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +249,7 @@ def exact_links(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nd
 
 
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for part in _runs(batches, "task"):
+    for part in runs(batches, "task"):
         task = part.column("task").to_numpy()
         cuts = np.flatnonzero(np.diff(task)) + 1
         for low, high in zip([0, *cuts], [*cuts, len(task)], strict=True):
@@ -242,33 +261,103 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    sketched = checkpoint(rows.mapInArrow(lambda it: _sketches(it, n), "doc_id long, n long, key binary, sketch array<int>"))
-    usable = sketched.filter("n > 0 and doc_id is not null")
-    reps = checkpoint(usable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")))
-    clusters = connected(_candidates(reps, percent))
-
-    sizes = clusters.join(reps.select(F.col("rep").alias("id"), "n"), "id").groupBy("component").agg(F.sum("n").alias("all"))
-    placed = clusters.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
-    sets = rows.join(checkpoint(placed), "doc_id").mapInArrow(lambda it: _sets(it, n), "rep long, cluster long, blocks int, set binary")
+def _in_blocks(placed: DataFrame, name: str) -> DataFrame:
+    """``rep, task`` for every pair of blocks of ``name``'s members, of ``blocks`` blocks."""
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    other = F.explode(F.expr("sequence(0, blocks - 1)"))
-    dealt = sets.withColumn("own", own).withColumn("other", other)
+    dealt = placed.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     # The lone pair (b, b) of a block is part of each of its pairs; it is a task only where there is one block.
-    dealt = dealt.filter("blocks = 1 or own <> other").select(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "rep", "set")
+    dealt = dealt.filter("blocks = 1 or own <> other")
+    return dealt.select("rep", F.xxhash64(F.lit(name), name, F.least("own", "other"), F.greatest("own", "other")).alias("task"))
+
+
+def _tasks(clusters: DataFrame, reps: DataFrame, members: list[DataFrame], large: DataFrame | None) -> DataFrame:
+    """``rep, task``: which sets are compared together."""
+    sized = clusters.join(reps.select(F.col("rep").alias("id"), "n"), "id")
+    sizes = sized.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    placed = checkpoint(clusters.join(sizes, "component").select(F.col("id").alias("rep"), "component", "blocks"))
+    tasks = placed.filter("blocks = 1").select("rep", F.xxhash64(F.lit("component"), "component").alias("task"))
+    giant = placed.filter("blocks > 1").select("rep", "component")
+    if giant.isEmpty():
+        return tasks
+    # Equal node names of two depths are two tasks.
+    for depth, small in enumerate(members):
+        tasks = tasks.unionAll(small.join(giant, "rep").select("rep", F.xxhash64(F.lit(depth), "node", "component").alias("task")))
+    if large is not None:
+        stay = large.join(giant, "rep").join(reps.select("rep", "n"), "rep").select("rep", "n", F.xxhash64("node", "component").alias("node"))
+        blocks = checkpoint(stay.groupBy("node").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("count")))
+        most = blocks.agg(F.sum("count")).first()[0] or 0
+        hot = blocks.filter(F.col("count") > max(SMALL, most // HOT)).select("node")
+        tasks = tasks.unionAll(_in_blocks(_by_node(stay, blocks.select("node", "blocks"), hot), "node"))
+    return tasks
+
+
+def _own(column: str) -> list[Column]:
+    """Digests of a text, which name a row together with its id."""
+    return [F.xxhash64(column).alias("h1"), F.xxhash64(F.lit(1), column).alias("h2")]
+
+
+def _read_again(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rep, text`` of the rows that ``wanted(rep, doc_id, h1, h2)`` names."""
+    bit = F.pmod(F.xxhash64("doc_id", "h1"), F.lit(1 << BITS))
+    word, mask = F.shiftright(bit, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    table = wanted.select(word.alias("__bq_word"), mask.alias("bits"))
+    table = table.groupBy("__bq_word").agg(F.bit_or("bits").alias("bits"))  # at most 2**BITS / 64 rows
+    passed = rows.withColumn("__bq_word", word).join(F.broadcast(table), "__bq_word")
+    passed = passed.filter(F.col("bits").bitwiseAND(mask) != 0)
+    return passed.select(*ROW, "text").join(wanted, ROW).select("rep", "text")
+
+
+def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Per row ``doc_id, h1, h2, n, component_id, first``: the least row (doc_id, h1, h2) of its component; null where it links with nothing by rule."""
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"the trees find links from {LEAST_PERCENT} percent on")
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select("doc_id", "text", *_own("text"))
+    kinds = "doc_id long, h1 long, h2 long, n long, key binary, sketch array<int>"
+    sketched = checkpoint(rows.select(*ROW, "text").mapInArrow(lambda it: _sketches(it, n), kinds))
+    usable = sketched.filter("n > 0 and doc_id is not null")
+    grouped = usable.groupBy("key").agg(F.min(F.struct(*ROW)).alias("low"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
+    reps = checkpoint(grouped.withColumn("rep", F.monotonically_increasing_id()))
+    joins, members, large = _candidates(reps, percent)
+    clusters = connected(joins)
+    tasks = checkpoint(_tasks(clusters, reps, members, large))
+    wanted = checkpoint(clusters.select(F.col("id").alias("rep")).join(reps.select("rep", "low.*"), "rep"))
+    sets = _read_again(rows, wanted).mapInArrow(lambda it: _sets(it, n), "rep long, set binary")
+    dealt = tasks.join(sets, "rep").select("task", "rep", "set")
     edges = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(lambda it: _verify(it, percent), "a long, b long")
-    linked = connected(edges)
+    linked = connected(edges).withColumnRenamed("id", "rep")
 
-    named = reps.select("key", "rep").join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("c"))
-    counted = sketched.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
-    out = counted.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    # Sets without links stand for themselves; a component's least row is found over its sets, not over its rows.
+    joined = linked.join(reps.select("rep", "low"), "rep")
+    firsts = joined.groupBy("component").agg(F.min("low").alias("first"))
+    named = reps.select("key", "rep", "low").join(linked.join(firsts, "component").select("rep", "first"), "rep", "left").select("key", F.coalesce("first", "low").alias("first"))
+    keyed = sketched.withColumn("key", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("key"))).drop("sketch")
+    out = keyed.join(named, "key", "left")
+    return out.select(*ROW, "n", F.coalesce("first.doc_id", "doc_id").alias("component_id"), "first")
+
+
+def classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``."""
+    out = _components(docs, n, percent)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which their group's smallest id is their own: one of each group (every row where ids repeat)."""
-    kept = classes(docs, n, percent).filter("kept").select(F.col("doc_id").alias("__bq_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__bq_id")), "left_semi")
+    """One row of each component: the least by id, then text."""
+    own = F.struct(*ROW)
+    found = _components(docs, n, percent).filter(F.col("first").isNull() | (own == F.col("first")))
+    kept = checkpoint(found.groupBy(*ROW).agg(F.count("first").alias("copies")))
+    names = {c: f"__bq_{c}" for c in ROW}
+    rows = docs.withColumns({"__bq_text": text_or_empty(), "__bq_doc_id": F.col("doc_id").cast("long")})
+    rows = rows.withColumns({"__bq_h1": F.xxhash64("__bq_text"), "__bq_h2": F.xxhash64(F.lit(1), "__bq_text")}).drop("__bq_text")
+
+    def among(marks: DataFrame) -> DataFrame:
+        m = marks.select(*[F.col(c).alias(f"__bq_kept_{c}") for c in ROW])
+        on = [rows[names[c]].eqNullSafe(m[f"__bq_kept_{c}"]) for c in ROW]
+        return rows.join(m, on[0] & on[1] & on[2], "left_semi")
+
+    out = among(kept.filter("copies <= 1"))
+    repeated = kept.filter("copies > 1")
+    if not repeated.isEmpty():  # rows that repeat as a whole: one of each stays
+        out = out.unionAll(among(repeated).dropDuplicates(list(names.values())))
+    return out.select(*docs.columns)
