@@ -118,15 +118,16 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 def _sketches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, keys, rows = [], [], []
+        sizes, keys, rows, lows = [], [], [], []
         for t in batch.column("text"):
             s = shingle_set(t.as_py(), n)
             sizes.append(len(s))
             keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             rows.append(sketch(s))
+            lows.append(rows[-1].astype(np.uint8).tobytes())
         values = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), pa.int32())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * SKETCH, pa.int32()), values)
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ROW] + [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], names=[*ROW, "n", "key", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ROW] + [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists, pa.array(lows, pa.binary())], names=[*ROW, "n", "key", "sketch", "low8"])
 
 
 def _star(rows: np.ndarray, cols: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,10 +138,13 @@ def _star(rows: np.ndarray, cols: np.ndarray, ids: np.ndarray) -> tuple[np.ndarr
 
 
 def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Candidates within small nodes (rows sorted by node): all pairs whose sketches and sizes allow a link."""
+    """Candidates within small nodes (rows sorted by node): all pairs whose sketches and sizes allow a link.
+
+    Only the values' last bytes come here; equal values have equal ones, so no pair is lost.
+    """
     for part in runs(batches, "node"):
         node, ids, n = (part.column(c).to_numpy() for c in ("node", "rep", "n"))
-        sk = part.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, SKETCH)
+        sk = np.frombuffer(b"".join(part.column("low8").to_pylist()), np.uint8).reshape(-1, SKETCH)
         rows, cols = [], []
         at = np.arange(len(node) - 1)
         for step in range(1, SMALL):
@@ -180,8 +184,8 @@ def _candidates(reps: DataFrame, percent: int) -> tuple[DataFrame, list[DataFram
         cold = nodes.join(F.broadcast(hot), "node", "left_anti")  # none of them is small
         small = checkpoint(cold.join(sizes.filter(F.col("count") <= SMALL).select("node"), "node").select("node", "rep"))
         members.append(small)
-        compared = small.join(reps.select("rep", "n", "sketch"), "rep").repartition("node").sortWithinPartitions("node")
-        found.append(checkpoint(compared.select("node", "rep", "n", "sketch").mapInArrow(lambda it: _compare(it, percent), "a long, b long").distinct()))
+        compared = small.join(reps.select("rep", "n", "low8"), "rep").repartition("node").sortWithinPartitions("node")
+        found.append(checkpoint(compared.select("node", "rep", "n", "low8").mapInArrow(lambda it: _compare(it, percent), "a long, b long").distinct()))
         large = sizes.filter(F.col("count") > SMALL).select("node")
         if large.isEmpty():
             return _union(found), members, None
@@ -313,10 +317,10 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
         raise ValueError(f"the trees find links from {LEAST_PERCENT} percent on")
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select("doc_id", "text", *_own("text"))
-    kinds = "doc_id long, h1 long, h2 long, n long, key binary, sketch array<int>"
+    kinds = "doc_id long, h1 long, h2 long, n long, key binary, sketch array<int>, low8 binary"
     sketched = checkpoint(rows.select(*ROW, "text").mapInArrow(lambda it: _sketches(it, n), kinds))
     usable = sketched.filter("n > 0 and doc_id is not null")
-    grouped = usable.groupBy("key").agg(F.min(F.struct(*ROW)).alias("low"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
+    grouped = usable.groupBy("key").agg(F.min(F.struct(*ROW)).alias("low"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("low8").alias("low8"))
     reps = checkpoint(grouped.withColumn("rep", F.monotonically_increasing_id()))
     joins, members, large = _candidates(reps, percent)
     clusters = connected(joins)
@@ -331,7 +335,7 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     joined = linked.join(reps.select("rep", "low"), "rep")
     firsts = joined.groupBy("component").agg(F.min("low").alias("first"))
     named = reps.select("key", "rep", "low").join(linked.join(firsts, "component").select("rep", "first"), "rep", "left").select("key", F.coalesce("first", "low").alias("first"))
-    keyed = sketched.withColumn("key", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("key"))).drop("sketch")
+    keyed = sketched.withColumn("key", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("key"))).drop("sketch", "low8")
     out = keyed.join(named, "key", "left")
     return out.select(*ROW, "n", F.coalesce("first.doc_id", "doc_id").alias("component_id"), "first")
 
