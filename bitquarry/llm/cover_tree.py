@@ -189,9 +189,17 @@ def nested(u: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def opened(x: dict[str, np.ndarray], y: dict[str, np.ndarray], reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """The vectors of two blocks in nodes that have a node within ``reach`` in the other."""
-    meet = distances(x["u"][x["heads"]], y["u"][y["heads"]]) <= x["spread"][:, None] + y["spread"] + (reach + SLACK)
-    return np.flatnonzero(meet.any(1)[x["own"]]), np.flatnonzero(meet.any(0)[y["own"]])
+    """The vectors of two blocks in nodes that have a node within ``reach`` in the other; of one block, those that may have any partner."""
+    near = x["u"][x["heads"]] @ y["u"][y["heads"]].T
+    # Distances as products of unit vectors, against the greatest radius first: few nodes get past it.
+    least = lambda radii: 1 - (radii + (reach + SLACK)) ** 2 / 2
+    rows = np.flatnonzero(near.max(1) >= least(x["spread"] + y["spread"].max()))
+    meet = near[rows] >= least(x["spread"][rows, None] + y["spread"])
+    if x is y:  # a lone vector's node need not meet itself
+        meet[np.arange(len(rows)), rows] &= np.bincount(x["own"], minlength=len(near))[rows] > 1
+    met = np.zeros(len(near), bool)
+    met[rows] = meet.any(1)
+    return np.flatnonzero(met[x["own"]]), np.flatnonzero(meet.any(0)[y["own"]])
 
 
 def _pairs_of(x: dict[str, np.ndarray], y: dict[str, np.ndarray], reach: float, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +224,8 @@ def links(
     spark = vectors.sparkSession
     small_batches(spark)
     rows = usable(vectors, key, vector)
-    width = rows.agg(F.max(F.size("v"))).first()[0] or 1
+    width, count = rows.agg(F.max(F.size("v")), F.count("*")).first()
+    width = width or 1
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
     units = rows.mapInArrow(lambda it: _unit(it, width), "id long, key binary, dim int, u binary")
     grouped = units.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.min("dim").alias("dim"), F.min("u").alias("u"))
@@ -265,7 +274,8 @@ def links(
             yield out()
 
     order = ["leaf", "far", "rep"]
-    sorted_ = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    # About one group of blocks to a partition, so that groups are full.
+    sorted_ = placed.repartitionByRange(max(1, math.ceil(count / (block * GROUP))), *order).sortWithinPartitions(*order)
     blocks = checkpoint(sorted_.select("rep", "copies", "dim", "u", "leaf", "far").mapInArrow(pack, _BLOCKS))
 
     # Blocks that can meet: by the traversal's leaves, then by the shells that each block holds of them.
