@@ -167,7 +167,7 @@ def test_cover_tree_invariants():
         assert (tree.centers[children[0]] == tree.centers[node]).all()  # nested
 
 
-@pytest.mark.parametrize("how", [{"block": 8, "query_block": 3, "pivots": 4}, {}])
+@pytest.mark.parametrize("how", [{"block": 8, "query_block": 3, "pivots": 4}, {"block": 64, "annulus": 5, "pivots": 9}, {}])
 def test_topk(spark, how):
     rows = vectors(np.random.default_rng(6))
     df = spark.createDataFrame(rows, VECTORS)
@@ -195,12 +195,126 @@ def test_vectors_odd(spark):
     assert sorted(map(repr, map(tuple, cover_tree.with_links(df).collect()))) == ["(5, 1, 5, True)", "(5, 1, 5, True)", "(6, 0, 6, True)", "(None, 0, None, True)"]
     assert topk.exact_topk(df, df).count() == 0
     twice = spark.createDataFrame([(0, [1.0], 0), (0, [3.0], 0), (0, [3.0], 0), (1, [2.0], 0), (1, [2.0], 0)], VECTORS)
-    got = topk.exact_topk(twice, twice.filter("vec_id = 0"), 3).orderBy("rank").collect()
-    assert [tuple(r) for r in got] == [(0, 1, 1, 3072 * 2048), (0, 2, 1, 3072 * 2048)]
+    got = topk.exact_topk(twice, twice.filter("vec_id = 0"), 3).orderBy("rank", "score").collect()  # every query row is answered
+    assert [tuple(r) for r in got] == [(0, rank, 1, score * 2048) for rank in (1, 2) for score in (1024, 3072, 3072)]
     one = spark.createDataFrame([(0, [1.0], 0), (1, [2.0], 0)], VECTORS)
     assert [tuple(r) for r in topk.exact_topk(one, one.filter("vec_id = 0"), 10).collect()] == [(0, 1, 1, 1024 * 2048)]
 
 
+def clustered(rng, n, dim=64, clusters=40):
+    """Unit vectors around a few centres, with planted copies."""
+    base = rng.normal(size=(clusters, dim))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    out = base[rng.integers(0, clusters, n)] + 0.03 * rng.normal(size=(n, dim))
+    out[: n // 10] = out[n // 2 : n // 2 + n // 10] + 0.002 * rng.normal(size=(n // 10, dim))
+    return (out / np.linalg.norm(out, axis=1)[:, None]).astype(np.float32).astype(float)
+
+
+def test_cover_tree_prunes():
+    """In 64 dimensions most pairs of vectors stay unopened: all but the links' neighbourhoods in separate copies, and other clusters."""
+    rng, reach = np.random.default_rng(3), np.sqrt(2 - 2 * 0.95)
+    for u, most in ((clustered(rng, 2000), 0.5), (np.vstack([v := rng.normal(size=(900, 64)), v[:100] + 0.01 * rng.normal(size=(100, 64))]), 0.05)):
+        u = u / np.linalg.norm(u, axis=1)[:, None]
+        blocks = []
+        order = np.argsort(cover_tree.Tree(u[::4], 256).descend(u)[0], kind="stable")
+        for at in range(0, len(u), 250):
+            part = u[order[at : at + 250]]
+            heads, spread, own = cover_tree.nested(part, reach / 2)
+            assert (cover_tree.distances(part, part[heads])[np.arange(len(part)), own] <= spread[own] + 1e-7).all()
+            blocks.append({"u": part, "heads": heads, "spread": spread, "own": own, "dims": np.full(len(part), 64)})
+        whole = compared = links = 0
+        for x, y in itertools.combinations(blocks, 2):
+            keep_x, keep_y = cover_tree.opened(x, y, reach)
+            whole += len(x["u"]) * len(y["u"])
+            compared += len(keep_x) * len(keep_y)
+            r, _ = cover_tree._pairs_of(x, y, reach, 0.95)
+            assert len(r) == (x["u"] @ y["u"].T >= 0.95).sum()
+            links += len(r)
+        assert compared < most * whole and links
+        for x in blocks:
+            both, far = x["u"] @ x["u"].T >= 0.95, ~np.eye(len(x["u"]), dtype=bool)
+            assert len(cover_tree._pairs_of(x, x, reach, 0.95)[0]) == (both & far).sum()
+
+
+def test_topk_prunes():
+    """In clustered vectors of 64 dimensions most products are never taken."""
+    rng = np.random.default_rng(4)
+    x = np.floor(1024 * clustered(rng, 3000))
+    top = (x * x).sum(1).max()
+    pivots = topk._pivots(topk._lift(x[::3], top), 54)
+    d = cover_tree.distances(topk._lift(x, top), pivots)
+    order = np.lexsort((d.min(1), d.argmin(1)))
+    x, d = x[order], d[order]
+    near = d.argmin(1)
+    cuts = [0, *(np.flatnonzero(np.diff(near)) + 1), len(x)]
+    cuts = list(itertools.pairwise(cuts))
+    far = np.stack([[d[a:b].min(0) for a, b in cuts], [d[a:b].max(0) for a, b in cuts]])
+    q = x[::50]
+    gap = topk.bounds(cover_tree.distances(topk._raised(q, top, False), pivots), far)
+    own = np.zeros((len(q), len(x)), bool)
+    _, values, taken = topk.expand(q, x, cuts, gap, own, np.full(len(q), -np.inf), top, 10, True)
+    assert [sorted(v)[-10:] for v in values] == [sorted(p)[-10:] for p in (q @ x.T).astype(np.int64).tolist()]
+    assert taken < 0.5 * len(q) * len(x)
+
+
+def test_repeated_ids_of_vectors(spark):
+    """Vertices are vectors: an id links nothing, and no row is lost."""
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.01]), (7, [1e-200, 1e-200]), (8, [1e200, 1e200]), (9, [5e-324, 5e-324]), (10, [1.0, 1.0])]
+    got = cover_tree.with_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == [(5, 0, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 3, 7, True), (8, 3, 7, False), (9, 3, 7, False), (10, 3, 7, False)]
+    asked = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r)[1:] for r in topk.exact_topk(asked, asked.filter("vec_id = 0")).collect()) == [(1, 1, 1 << 20), (1, 1, 2 << 20)]
+
+
+def by_row(rows, n, percent):
+    """Rows as vertices, whatever their ids."""
+    sets = [word_sets(t, n) for _, t in rows]
+    links = [(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2) if a and b and None not in (rows[i][0], rows[j][0]) and 100 * len(a & b) >= percent * len(a | b)]
+    root = union_find(range(len(rows)), links)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[root[i]] = min(least.get(root[i], doc), doc)
+    return [(doc, len(s), least[root[i]], least[root[i]] == doc) for i, ((doc, _), s) in enumerate(zip(rows, sets, strict=True))], root
+
+
+def test_repeated_ids_of_documents(make):
+    base = [f"w{i}" for i in range(60)]
+    x, near = " ".join(base), " ".join([*base[:-1], "other"])
+    y, z = "an unrelated text of quite a few words stands here", "something else entirely is written in this one row"
+    rows = [(2, x), (6, near), (6, y), (9, z), (6, z), (10, y + " " + z), (10, x), (10, x)]
+    want, _ = by_row(rows, 5, 80)
+    assert sorted(map(tuple, cpsjoin.classes(make(rows), 5, 80).collect())) == sorted(want)
+    kept = sorted((r["doc_id"], r["text"]) for r in cpsjoin.keep_first(make(rows)).collect())
+    assert kept == sorted([(2, x), (6, y), (6, z), (10, y + " " + z)])  # one row of each group, and nothing unrelated goes
+    twice = [(1, x), (1, x), (1, near), (3, y), (3, None), (3, None)]
+    left = sorted(((r["doc_id"], r["text"]) for r in cpsjoin.keep_first(make(twice)).collect()), key=repr)
+    assert [r for r in left if r[0] == 3] == sorted([(3, y), (3, None), (3, None)], key=repr)
+    assert len([r for r in left if r[0] == 1]) == 1 and len(left) == 4
+    with pytest.raises(ValueError):
+        cpsjoin.classes(make(rows), 5, 50)
+
+
+def test_recall_of_candidates(spark):
+    """Of pairs at and above the threshold, at least 99 % meet in a node and pass the sketches."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(30000)]
+    rows, pairs = [], []
+    for k in range(400):
+        t = [rng.choice(words) for _ in range(250)]
+        near = list(t)
+        for place in rng.sample(range(2, 248, 5), 5):  # each changed word changes five shingles
+            near[place] = rng.choice(words)
+        if 100 * len(word_sets(" ".join(t), 5) & word_sets(" ".join(near), 5)) >= 80 * len(word_sets(" ".join(t), 5) | word_sets(" ".join(near), 5)):
+            pairs.append((2 * k, 2 * k + 1))
+        rows += [(2 * k, " ".join(t)), (2 * k + 1, " ".join(near))]
+    sets = [cpsjoin.shingle_set(t, 5) for _, t in rows]
+    full = [(i, len(s), cpsjoin.sketch(s)) for (i, _), s in zip(rows, sets, strict=True)]
+    reps = spark.createDataFrame([(i, n, k.tolist(), k.astype(np.uint8).tobytes()) for i, n, k in full], "rep long, n long, sketch array<int>, low8 binary")
+    joins, _, _ = cpsjoin._candidates(reps, 80)
+    root = union_find(range(len(rows)), [(r["a"], r["b"]) for r in joins.collect()])
+    assert len(pairs) > 300 and sum(root[a] == root[b] for a, b in pairs) >= 0.99 * len(pairs)
+
+
 # The pipeline.
 
 
@@ -223,3 +337,35 @@ def test_stage_columns(spark, odd):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "pii", "mixing", "pieces"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd.select("doc_id", "text", "lang", "source", "n_chars"), "/root/testdata/sf0.001").columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    """The whole pipeline over nulls, ties, repeated rows and no rows; only the last stage's table stays behind."""
+    from pathlib import Path
+
+    from bitquarry.llm.common import shared_dir
+
+    given = odd.select("doc_id", "text", "lang", F.when(F.col("doc_id") > 2, F.col("source")).alias("source"), "n_chars")
+    for name, docs in (("odd", given), ("empty", empty)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, 0, 0), (7, 0, None), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        tables = lambda: set(Path(shared_dir(spark).removeprefix("file:")).glob("pipeline-*"))
+        before = tables()
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert len(tables() - before) == 1
+        if name == "empty":
+            assert got == []
+            continue
+        # One of the two equal rows goes; all else stays, with the ids of its own text.
+        assert sorted({repr(r["doc_id"]) for r in got}) == sorted({repr(r["doc_id"]) for r in given.collect()})
+        ids = {i: m for i, m in ((r["doc_id"], r["ids"]) for r in got)}
+        assert ids[1] == [] == ids[2] and sum(r["doc_id"] == 6 for r in got) == 2
+
+
+def test_every_stage_takes_odd_rows(spark, odd, empty):
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (odd, empty):
+            columns = docs.columns
+            out = stage(spark, docs, "/root/testdata/sf0.001")
+            assert out.columns == (["doc_id", "source", "ids"] if name == "pieces" else columns)
+            assert out.count() >= (docs.count() - 1 if name != "toxicity" else 0)
