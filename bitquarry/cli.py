@@ -1,4 +1,4 @@
-"""Commands over BAM files: ``index``, ``view``, ``query``, ``fast-count``, ``index-info``, ``viewer view|stats``.
+"""Commands over BAM files: ``index``, ``view``, ``query``, ``fast-count``, ``index-info``, ``viewer view|stats``, ``bench index|view``.
 
 ``python -m bitquarry.cli [-t N] COMMAND ...``; counts and records go to
 standard output, all else to standard error.
@@ -13,8 +13,9 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.flags import EXCLUDE, INCLUDE, Mask, binary_flag, hex_flag, labels, parse_flag
-from .operators import index, query, report
+from . import benchmark
+from .functions.flags import EXCLUDE, INCLUDE, Mask, binary_flag, hex_flag, labels, parse_flag, parse_flags
+from .operators import compare, index, query, report
 from .plans.catalog import BadIndex, Catalog, source_of
 from .sources import bam, sam
 
@@ -55,6 +56,15 @@ def parser() -> argparse.ArgumentParser:
     c = viewer.add_parser("stats")
     c.add_argument("input")
     c.add_argument("-t", "--top", type=int, default=10)
+    runs = sub.add_parser("bench").add_subparsers(dest="bench", required=True)
+    for name in ("index", "view"):
+        c = runs.add_parser(name)
+        c.add_argument("--bam", required=True, help="files, comma-separated")
+        c.add_argument("--threads", default="2,max")
+        c.add_argument("--samples", type=int, default=1)
+        c.add_argument("--out", help="folder for results and samples as CSV")
+        if name == "view":
+            c.add_argument("--flags", default="0x4", help="comma-separated")
     return p
 
 
@@ -83,6 +93,19 @@ def _print(df: DataFrame) -> None:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
+    if args.command == "bench":
+        files, flags = args.bam.split(","), [hex(x) for x in parse_flags(getattr(args, "flags", "0"))]
+        results, samples, counts = benchmark.matrix(args.bench, files, flags, report.thread_counts(args.threads), args.samples)
+        spark = spark or SparkSession.builder.master("local[1]").appName("bitquarry").config("spark.ui.enabled", "false").getOrCreate()
+        rows = spark.createDataFrame(results, report.RESULTS)
+        if args.out:
+            report.write_csv(rows, f"{args.out}/results")
+            report.write_csv(spark.createDataFrame(samples, report.SAMPLES), f"{args.out}/samples")
+        _print(report.sample_stats(rows).orderBy("strategy", "threads"))
+        _print(report.best(rows))
+        agreed = [compare.counts_agree(spark.createDataFrame(c, "record_count BIGINT")).first()[0] for c in counts.values()]
+        _say("counts:", ", ".join(agreed))
+        return int("Failed" in agreed)
     spark = spark or SparkSession.builder.master(f"local[{args.threads or '*'}]").appName("bitquarry").config("spark.ui.enabled", "false").getOrCreate()
     command = getattr(args, "viewer", None) or args.command
     if args.command == "index":
@@ -102,7 +125,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif args.command == "view":
         m = _mask(args)
         wanted = [r[0] for r in query.blocks_for(_index(spark, args, args.force_rebuild), m).orderBy("block_id").toLocalIterator()]
-        head = bam.read_header(args.input, bam.discover_blocks(args.input))
+        head = bam.read_header(args.input)
         sys.stdout.write(head.text)
         rows = bam.read(spark, args.input, required=str(m.required), forbidden=str(m.forbidden), blocks=",".join(map(str, wanted)))
         for row in sam.lines(rows, head.names).toLocalIterator():

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Block ids to a range in ``delta_encode``.
+WIDTH = 1 << 24
+
 
 def varint_length(value: str | Column) -> Column:
     """Bytes of a non-negative long in seven-bit groups; 0 for null."""
@@ -15,6 +18,15 @@ def varint_length(value: str | Column) -> Column:
     return out.otherwise(F.lit(9))
 
 
+def varint_bytes(value: str | Column) -> Column:
+    """The bytes of one non-negative long, as ``varint_encode`` gives them; null for null."""
+    c = F.col(value) if isinstance(value, str) else value
+    group = lambda k: F.call_function("shiftright", c, 7 * k).bitwiseAND(127)
+    last = varint_length(c) - 1
+    digits = F.transform(F.sequence(F.lit(0), last), lambda k: F.lpad(F.hex(F.when(k < last, group(k).bitwiseOR(128)).otherwise(group(k))), 2, "0"))
+    return F.when(c.isNotNull(), F.unhex(F.array_join(digits, "")))
+
+
 def varint_encode(values: list[int]) -> bytes:
     """Seven bits a byte, least significant first, the top bit on all but a value's last byte."""
     out = bytearray()
@@ -43,15 +55,23 @@ def varint_decode(data: bytes) -> list[int]:
     return out
 
 
-def delta_encode(index: DataFrame) -> DataFrame:
-    """Add ``delta``: the distance from the flag's previous block, null for its first."""
-    w = Window.partitionBy("flag").orderBy("block_id")
-    return index.withColumn("delta", F.col("block_id") - F.lag("block_id").over(w))
+def delta_encode(index: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Add ``delta``: the distance from the flag's previous block, null for its first.
+
+    Windows hold one flag's blocks of one range of ``width`` ids; the last
+    block before a range comes from a table with a row per flag and range.
+    """
+    ranged = index.withColumn("__range", F.floor(F.col("block_id") / F.lit(width)))
+    last = ranged.groupBy("flag", "__range").agg(F.max("block_id").alias("__last"))
+    before = last.select("flag", "__range", F.lag("__last").over(Window.partitionBy("flag").orderBy("__range")).alias("__before"))
+    w = Window.partitionBy("flag", "__range").orderBy("block_id")
+    joined = ranged.join(before, ["flag", "__range"])
+    return joined.select(*index.columns, (F.col("block_id") - F.coalesce(F.lag("block_id").over(w), "__before")).alias("delta"))
 
 
 def delta_decode(deltas: DataFrame) -> DataFrame:
-    """``block_id`` again, of ``first_block``, ``delta`` and the place ``pos`` within a flag."""
-    w = Window.partitionBy("flag").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    """``block_id`` again, of ``first_block``, ``delta`` and the place ``pos`` within a packed row (a flag and a first block)."""
+    w = Window.partitionBy("flag", "first_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return deltas.withColumn("block_id", F.col("first_block") + F.sum(F.coalesce("delta", F.lit(0))).over(w))
 
 

@@ -14,13 +14,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codecs import delta_encode, varint_length
+from ..functions.codecs import array_deltas, delta_decode, delta_encode, varint_length
 from ..functions.flags import N_FLAGS
 
 SCHEMA = "flag INT, block_id BIGINT, read_count BIGINT"
 STRATEGIES = ("work-stealing", "channel", "constant-memory")
 #: Partitions per core of the constant-memory strategy, so that each holds little.
 SMALL_PARTS = 16
+#: Blocks to a row of the nested and the packed layout, about.
+PACKED = 1 << 16
 
 
 def build(records: DataFrame, strategy: str = "work-stealing") -> DataFrame:
@@ -59,10 +61,22 @@ def flag_summary(index: DataFrame) -> DataFrame:
     return index.groupBy("flag").agg(F.sum("read_count").alias("total_reads")).filter("total_reads > 0")
 
 
-def bins(index: DataFrame) -> DataFrame:
-    """The nested view: per flag its total and its (block_id, read_count), ascending."""
+def range_width(index: DataFrame, most: int = PACKED) -> int:
+    """How many block ids a range may span so that it holds about ``most`` blocks; ids may be numbers or byte offsets."""
+    low, high, n = index.agg(F.min("block_id"), F.max("block_id"), F.approx_count_distinct("block_id")).first()
+    return max(1, (high - low + 1) * most // n) if n else most
+
+
+def bins(index: DataFrame, width: int | None = None) -> DataFrame:
+    """The nested view: per flag and range of block ids the total and the (block_id, read_count), ascending.
+
+    A range holds about ``PACKED`` blocks, so a row is bounded; up to so many
+    blocks a flag is one row.
+    """
+    width = width or range_width(index)
     blocks = F.array_sort(F.collect_list(F.struct("block_id", "read_count")))
-    return index.groupBy("flag").agg(F.sum("read_count").alias("total_reads"), blocks.alias("blocks"))
+    ranged = index.groupBy("flag", F.floor(F.col("block_id") / F.lit(width)).alias("__range"))
+    return ranged.agg(F.sum("read_count").alias("total_reads"), blocks.alias("blocks")).drop("__range")
 
 
 def flatten(nested: DataFrame) -> DataFrame:
@@ -70,18 +84,14 @@ def flatten(nested: DataFrame) -> DataFrame:
     return nested.select("flag", F.explode("blocks").alias("b")).select("flag", "b.block_id", "b.read_count")
 
 
-def pack(index: DataFrame) -> DataFrame:
-    """Lossless compressed layout: ``flag, first_block, deltas, read_counts``, one row per flag."""
-    got = bins(index).select("flag", F.col("blocks.block_id").alias("ids"), F.col("blocks.read_count").alias("read_counts"))
-    deltas = F.transform(F.sequence(F.lit(1), F.size("ids") - 1), lambda i: F.col("ids")[i] - F.col("ids")[i - 1])
-    none = F.array().cast("array<bigint>")
-    return got.select("flag", F.col("ids")[0].alias("first_block"), F.when(F.size("ids") > 1, deltas).otherwise(none).alias("deltas"), "read_counts")
+def pack(index: DataFrame, width: int | None = None) -> DataFrame:
+    """Lossless compressed layout: ``flag, first_block, deltas, read_counts``, one row per flag and range of block ids."""
+    got = bins(index, width).select("flag", F.col("blocks.block_id").alias("ids"), F.col("blocks.read_count").alias("read_counts"))
+    return got.select("flag", F.col("ids")[0].alias("first_block"), array_deltas("ids").alias("deltas"), "read_counts")
 
 
 def unpack(packed: DataFrame) -> DataFrame:
-    """The flat index of ``pack``: running sums of the deltas, beside the counts."""
-    from ..functions.codecs import delta_decode
-
+    """The flat index of ``pack``: running sums of the deltas within each row, beside the counts."""
     rows = packed.select("flag", "first_block", F.posexplode(F.arrays_zip(F.concat(F.array(F.lit(None).cast("bigint")), "deltas").alias("delta"), F.col("read_counts").alias("read_count"))).alias("pos", "x"))
     flat = rows.select("flag", "first_block", "pos", F.col("x")["delta"].alias("delta"), F.col("x")["read_count"].alias("read_count"))
     return delta_decode(flat).select("flag", "block_id", "read_count")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -71,14 +72,13 @@ def efficiency(index: DataFrame, mask: Mask) -> DataFrame:
 
 
 def view(records: DataFrame, index: DataFrame, mask: Mask) -> DataFrame:
-    """Matching records, reading only blocks that the index names.
+    """Matching records of a table, by the flags that the index says occur.
 
-    A left-semi join on the block, which Spark broadcasts if the blocks' size
-    allows it, and the mask on what is left.
+    All matching records lie in matching blocks, so on a table that is not
+    stored by block a join with these would read as much and sort more.
+    ``plans.skipping`` prunes tables that are, and the BAM source takes blocks.
     """
-    if mask.is_all:
-        return records
-    return mask.apply(records).join(blocks_for(index, mask), "block_id", "left_semi")
+    return records if mask.is_all else with_flag_list(records, index, mask)
 
 
 def view_direct(records: DataFrame, mask: Mask) -> DataFrame:
@@ -113,6 +113,24 @@ def iterate(records: DataFrame, mask: Mask) -> Iterator:
     return mask.apply(records).toLocalIterator()
 
 
+@dataclass(frozen=True)
+class Progress:
+    done: int
+    #: From the index: how many there will be.
+    total: int
+
+    @property
+    def share(self) -> float:
+        return self.done / self.total if self.total else 1.0
+
+
+def iterate_with_progress(records: DataFrame, index: DataFrame, mask: Mask) -> Iterator[tuple[object, Progress]]:
+    """Matching records one by one, each with how far the pull is; the total is known before the first record."""
+    total = count(index, mask).first()[0]
+    for done, row in enumerate(iterate(records, mask), 1):
+        yield row, Progress(done, total)
+
+
 def map_batches(records: DataFrame, mask: Mask, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str, size: int = BATCH) -> DataFrame:
     """``f`` on batches of at most ``size`` matching records, on the executors; the remainder is a batch too."""
 

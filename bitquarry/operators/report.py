@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.flags import flag_bits, hex_flag, labels
-from .index import flag_summary, total_records
+from .index import flag_summary
 
 #: Columns of stored benchmark results and of resource samples.
 RESULTS = "threads INT, strategy STRING, time_ms BIGINT, peak_memory_mb DOUBLE, avg_memory_mb DOUBLE, peak_cpu_percent DOUBLE, avg_cpu_percent DOUBLE, index_size_mb DOUBLE, samples INT"
@@ -18,9 +18,11 @@ SAMPLES = "threads INT, strategy STRING, timestamp_ms BIGINT, memory_mb DOUBLE,
 
 def top_flags(index: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` most frequent flags with their share of all records and their labels; ties by flag."""
-    top = flag_summary(index).orderBy(F.desc("total_reads"), "flag").limit(n)
+    flags = flag_summary(index)  # 65,536 rows at most; its exchange is reused for the total
+    total = flags.agg(F.coalesce(F.sum("total_reads"), F.lit(0)).alias("total_records"))
+    top = flags.orderBy(F.desc("total_reads"), "flag").limit(n)
     share = F.when(F.col("total_records") > 0, F.col("total_reads") * 100.0 / F.col("total_records")).otherwise(0.0)
-    return top.crossJoin(total_records(index)).select("flag", hex_flag("flag").alias("hex"), "total_reads", share.alias("percentage"), labels("flag").alias("labels"))  # times one row
+    return top.crossJoin(total).select("flag", hex_flag("flag").alias("hex"), "total_reads", share.alias("percentage"), labels("flag").alias("labels"))  # times one row
 
 
 def bit_totals(index: DataFrame) -> DataFrame:

@@ -64,19 +64,22 @@ class Catalog:
         """The one rule: the name, or the last part of a source's path."""
         return f"{self.root}/{name.rstrip('/').rsplit('/', 1)[-1]}"
 
-    def save(self, name: str, index: DataFrame, source: str | None = None, layout: str = "flat", build_time_ms: int = 0) -> None:
+    def save(self, name: str, index: DataFrame, source: str | None = None, layout: str = "flat", build_time_ms: int | None = None) -> None:
+        """Store the index; its build time, unless given, is that of writing it, which is when a lazy index is built."""
         if layout not in LAYOUTS:
             raise ValueError(f"unknown layout: {layout!r}")
         seen = source_of(self.spark, source) if source else None
         created = int(time.time() * 1000)
         data = f"data-{created}"
+        began = time.perf_counter()
         rows = index.select(F.col("flag").cast("int"), F.col("block_id").cast("bigint"), F.col("read_count").cast("bigint"))
         stored = pack(rows) if layout == "packed" else rows.repartitionByRange("flag", "block_id").sortWithinPartitions("flag", "block_id")
         stored.write.option("compression", "zstd").parquet(f"{self.path(name)}/{data}")
+        took = int((time.perf_counter() - began) * 1000)
         ratio = compression_stats(self._data(name, layout, data)).first()["compression_ratio"] if layout == "packed" else 1.0
         old = self.manifest(name, missing_ok=True)
         row = {"version": VERSION, "created": created // 1000, "source_path": source, "source_size": seen.size if seen else None, "source_mtime": seen.mtime if seen else None}
-        row |= {"layout": layout, "build_time_ms": build_time_ms, "compression_ratio": float(ratio), "data": data}
+        row |= {"layout": layout, "build_time_ms": took if build_time_ms is None else build_time_ms, "compression_ratio": float(ratio), "data": data}
         self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.path(name)}/manifest")
         if old and old["data"] != data:
             fs, p = _path(self.spark, f"{self.path(name)}/{old['data']}")
@@ -116,10 +119,9 @@ class Catalog:
                     return self.load(name)
             except BadIndex:
                 pass
-        began = time.time()
         index = build()
         try:
-            self.save(name, index, source, layout, int((time.time() - began) * 1000))
+            self.save(name, index, source, layout)
         except Exception as e:  # noqa: BLE001
             warnings.warn(f"index {name!r} was not stored: {e}", stacklevel=2)
             return index

@@ -1,9 +1,10 @@
 """Records stored for block skipping.
 
 The table is partitioned by ``bucket``, a run of neighbouring blocks, and
-sorted by block within.  A retrieval joins it with the index' matching blocks on
-bucket and block; the small side prunes partitions at run time, and Parquet's
-row-group statistics of ``block_id`` do the rest.
+sorted by flag and block within.  A retrieval asks the index which flags match:
+their list, and the range of their blocks, are filters that Parquet takes to row
+groups and pages.  The flags alone decide which records match; a join with the
+matching buckets only prunes partitions at run time.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.flags import Mask
-from ..operators.query import blocks_for
+
+#: Flags that are listed in a filter, at most.
+LISTED = 4096
 
 
 def bucket_of(blocks_per_bucket: int):  # noqa: ANN201
@@ -22,7 +25,7 @@ def bucket_of(blocks_per_bucket: int):  # noqa: ANN201
 def write_records(records: DataFrame, path: str, blocks_per_bucket: int) -> None:
     """Store records by bucket; a bucket is one task's output file."""
     placed = records.withColumn("bucket", bucket_of(blocks_per_bucket))
-    placed.repartition("bucket").sortWithinPartitions("bucket", "block_id").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+    placed.repartition("bucket").sortWithinPartitions("bucket", "flag", "block_id").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
 
 
 def view(spark: SparkSession, path: str, index: DataFrame, mask: Mask, blocks_per_bucket: int) -> DataFrame:
@@ -32,5 +35,12 @@ def view(spark: SparkSession, path: str, index: DataFrame, mask: Mask, blocks_pe
 
 def view_of(stored: DataFrame, index: DataFrame, mask: Mask, blocks_per_bucket: int) -> DataFrame:
     """The same of a table that is open already, whose files need no listing again."""
-    wanted = blocks_for(index, mask).withColumn("bucket", bucket_of(blocks_per_bucket))
-    return mask.apply(stored).join(wanted, ["bucket", "block_id"], "left_semi").drop("bucket")
+    if mask.is_all:
+        return stored.drop("bucket")
+    hits = mask.apply(index)
+    flags, low, high = hits.agg(F.collect_set("flag"), F.min("block_id"), F.max("block_id")).first()  # 65,536 flags at most
+    if not flags:
+        return stored.filter(F.lit(False)).drop("bucket")
+    matching = stored.filter(F.col("flag").isin(sorted(flags))) if len(flags) <= LISTED else mask.apply(stored)
+    buckets = hits.select(bucket_of(blocks_per_bucket).alias("bucket")).distinct()
+    return matching.filter(F.col("block_id").between(low, high)).join(buckets, "bucket", "left_semi").drop("bucket")

@@ -174,7 +174,8 @@ ORACLE: dict[str, str] = {
     "records_by_block": f"WITH {_R} SELECT block_id, count(*) AS reads FROM r WHERE {_HIT} GROUP BY block_id",
     "block_overlap": f"{_J}, {_OVERLAP} SELECT * FROM p",
     "bin_mismatch": f"{_J}, {_MISMATCH} SELECT * FROM m",
-    "equivalence": "SELECT true AS equivalent",
+    "equivalence": f"""{_I}, h AS (SELECT flag, block_id, count(*) AS n FROM r WHERE block_id % 2 = 0 GROUP BY ALL UNION ALL SELECT flag, block_id, count(*) AS n FROM r WHERE block_id % 2 = 1 GROUP BY ALL)
+        SELECT coalesce(bool_and(l = r), true) AS equivalent FROM (SELECT flag, sum(l) AS l, sum(r) AS r FROM (SELECT flag, n AS l, 0 AS r FROM i UNION ALL SELECT flag, 0, n FROM h) GROUP BY flag)""",
     "equivalence_analysis": f"""{_J}, {_OVERLAP}, {_MISMATCH}, q AS (SELECT *, (SELECT count(*) FROM m) AS mismatched_bins, (SELECT count(DISTINCT flag) FROM i) AS left_flags,
         (SELECT {_SUM} FROM i) AS left_total, (SELECT {_SUM} FROM j) AS right_total FROM p)
         SELECT *, overlap_percent >= 95 AS blocks_pass, mismatched_bins = 0 AS bins_pass,

@@ -10,12 +10,17 @@
   what stands before it, ``RESYNC`` goes on at the next block;
 * ``required``, ``forbidden``: a mask (flag literals) applied while parsing;
 * ``blocks``: block ids to read, comma-separated, all others are not opened;
-* ``partition_bytes``: compressed bytes of a partition (32 MiB);
+* ``partition_bytes``: compressed bytes of a partition (32 MiB, 256 at least);
 * ``push``: take pushed-down filters; only for sessions that push to Python
   sources (``read`` sets it by the session).
 
 A block is a member of the compressed file, and its id the member's byte offset.
-The driver walks the headers only.  A record belongs to the block in which it
+The driver reads the file's header and deals out byte ranges; a range's blocks
+are those that start in it, and its task finds the first one by looking for a
+full block header that another one, or the end, follows.  With ``FAILFAST`` a task
+also checks that its last block ends where the next range's first one begins.
+``PERMISSIVE`` alone needs a walk over all headers before, as it stops at
+the file's first bad block.  A record belongs to the block in which it
 starts; one that crosses a partition's end is finished from the blocks that
 follow, and a partition that starts within a record finds the next one by
 checking that a chain of plausible records follows.
@@ -23,12 +28,15 @@ checking that a chain of plausible records follows.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +47,8 @@ from ..functions.flags import Mask, parse_flag
 
 #: Fixed values of the block format: header length, least and greatest size, magic.
 HEADER, LEAST, MOST, MAGIC = 18, 26, 65536, b"\x1f\x8b"
+#: Least bytes of a range, and inflated bytes that are scanned together.
+LEAST_RANGE, TOGETHER = 256, 1 << 20
 FLAG_SCHEMA = "file STRING, block_id BIGINT, flag INT"
 COUNT_SCHEMA = "file STRING, block_id BIGINT, flag INT, read_count BIGINT"
 RECORD_SCHEMA = (
@@ -69,26 +79,47 @@ def full_header(head: bytes) -> bool:
     return len(head) >= HEADER and head[:2] == MAGIC and head[2] == 8 and head[3] & 4 != 0 and head[12:14] == b"BC" and head[14:16] == b"\x02\x00"
 
 
+def walk(f: pa.NativeFile, path: str, at: int, end: int, mode: str) -> Iterator[tuple[int, int]]:
+    """Offset and size of each block from ``at`` on; a block cut off at the end is left out."""
+    while at + HEADER <= end:
+        head = f.read_at(HEADER, at)
+        total = struct.unpack_from("<H", head, 16)[0] + 1
+        if head[:2] != MAGIC or not LEAST <= total <= MOST or mode == "RESYNC" and not full_header(head):
+            if mode == "FAILFAST":
+                raise BadBlock(f"{path}: no block at offset {at}")
+            if mode == "PERMISSIVE":
+                return
+            at = _next_header(f, at + 1, end)
+            continue
+        if at + total > end:
+            return
+        yield at, total
+        at += total
+
+
+def walk_range(f: pa.NativeFile, path: str, low: int, high: int, end: int, mode: str, known: bool) -> Iterator[tuple[int, int]]:
+    """The blocks that start in a range, and then those after it; ``known`` says that one starts at ``low``."""
+    at = low if known else _next_header(f, low, end)
+    if at >= high:
+        return
+    seam = False
+    for at, total in walk(f, path, at, end, mode):
+        if at >= high and not seam:
+            seam = True
+            if mode == "FAILFAST" and _next_header(f, high, end) != at:
+                raise BadBlock(f"{path}: no block at offset {at}")
+        yield at, total
+
+
+def ranges(low: int, end: int, size: int) -> list[tuple[int, int]]:
+    return [(at, min(at + size, end)) for at in range(low, end, size)]
+
+
 def discover_blocks(path: str, mode: str = "FAILFAST") -> list[tuple[int, int]]:
-    """Offset and size of every block, by walking the headers; a block cut off at the end is left out."""
+    """Offset and size of every block, by walking all headers of a file."""
     fs, name = _open(path)
-    end, at, out = fs.get_file_info(name).size, 0, []
     with fs.open_input_file(name) as f:
-        while at + HEADER <= end:
-            head = f.read_at(HEADER, at)
-            total = struct.unpack_from("<H", head, 16)[0] + 1
-            if head[:2] != MAGIC or not LEAST <= total <= MOST or mode == "RESYNC" and not full_header(head):
-                if mode == "FAILFAST":
-                    raise BadBlock(f"{path}: no block at offset {at}")
-                if mode == "PERMISSIVE":
-                    break
-                at = _next_header(f, at + 1, end)
-                continue
-            if at + total > end:
-                break
-            out.append((at, total))
-            at += total
-    return out
+        return list(walk(f, path, 0, fs.get_file_info(name).size, mode))
 
 
 def _next_header(f: pa.NativeFile, at: int, end: int) -> int:
@@ -106,28 +137,47 @@ def _next_header(f: pa.NativeFile, at: int, end: int) -> int:
     return end
 
 
-def blocks(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
-    """The blocks as a table ``start_pos, total_size``."""
-    return spark.createDataFrame(discover_blocks(path, mode), "start_pos bigint, total_size bigint")
+def blocks(spark: SparkSession, path: str, mode: str = "FAILFAST", range_bytes: int = 64 << 20) -> DataFrame:
+    """The blocks as a table ``start_pos, total_size``, found in byte ranges by as many tasks; ``PERMISSIVE`` in one walk."""
+    kinds = "start_pos bigint, total_size bigint"
+    if mode == "PERMISSIVE":
+        return spark.createDataFrame(discover_blocks(path, mode), kinds)
+    fs, name = _open(path)
+    end = fs.get_file_info(name).size
+    dealt = ranges(0, end, max(range_bytes, LEAST_RANGE))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, name = _open(path)
+        with fs.open_input_file(name) as f:
+            for batch in batches:
+                for low, high in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    # The first block after the range is looked at for the check of the seam, and left to the next one.
+                    found = list(itertools.takewhile(lambda b: b[0] < high, walk_range(f, path, low, high, end, mode, low == 0 and mode == "FAILFAST")))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([x[0] for x in found], [x[1] for x in found])], names=["start_pos", "total_size"])
+
+    table = spark.createDataFrame(dealt, "low bigint, high bigint").repartition(max(1, len(dealt)), "low")
+    return table.mapInArrow(find, kinds)
 
 
 class _Stream:
     """The payload of blocks from one on, with the place where each block starts."""
 
-    def __init__(self, f: pa.NativeFile, found: list[tuple[int, int]], mode: str):
-        self.f, self.left, self.mode = f, list(reversed(found)), mode
+    def __init__(self, f: pa.NativeFile, found: Iterable[tuple[int, int]], mode: str):
+        self.f, self.left, self.mode = f, iter(found), mode
         self.data, self.starts = b"", []
+        #: Where the last block that was read ends in the file.
+        self.end = 0
 
     def more(self) -> bool:
-        while self.left:
-            at, total = self.left.pop()
+        for at, total in self.left:
+            self.end = at + total
             try:
                 payload = zlib.decompress(self.f.read_at(total, at), 31)
             except zlib.error as e:
                 if self.mode == "FAILFAST":
                     raise BadBlock(f"block at offset {at} does not inflate") from e
                 if self.mode == "PERMISSIVE":
-                    self.left.clear()
+                    self.left = iter(())
                     return False
                 continue
             self.starts.append((len(self.data), at))
@@ -162,13 +212,13 @@ class Header:
     offset: int
 
 
-def read_header(path: str, found: list[tuple[int, int]], mode: str = "FAILFAST") -> Header:
-    """The header, by its own lengths, over as many blocks as it takes."""
+def read_header(path: str, found: Iterable[tuple[int, int]] | None = None, mode: str = "FAILFAST") -> Header:
+    """The header, by its own lengths, over as many blocks as it takes, and no more."""
     fs, name = _open(path)
     with fs.open_input_file(name) as f:
-        s = _Stream(f, found, mode)
+        s = _Stream(f, walk(f, path, 0, fs.get_file_info(name).size, mode) if found is None else found, mode)
         if not s.need(12) or s.data[:4] != b"BAM\x01":
-            return Header("", (), (), found[0][0] if found else 0, 0)
+            return Header("", (), (), s.starts[0][1] if s.starts else -1, 0)
         (size,) = struct.unpack_from("<i", s.data, 4)
         at = 8 + size
         if not s.need(at + 4):
@@ -194,11 +244,14 @@ def read_header(path: str, found: list[tuple[int, int]], mode: str = "FAILFAST")
 @dataclass
 class _Part(InputPartition):
     path: str
-    own: list[tuple[int, int]]
-    after: list[tuple[int, int]]
+    #: Blocks that start from ``low`` on and before ``high``; none is read from ``end`` on.
+    low: int
+    high: int
+    end: int
+    #: Place of the first record in the first block's payload; -1 where it must be found.
     offset: int
     refs: int
-    #: Ids whose records are wanted; None for all.
+    #: Ids in the range whose records are wanted; None for all.
     wanted: frozenset[int] | None
 
 
@@ -241,53 +294,94 @@ class BamReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
+        wanted = None if self.wanted is None else sorted(self.wanted)
         for path in self.paths:
-            found = discover_blocks(path, self.mode)
-            if not found:
-                continue
-            head = read_header(path, found, self.mode)
+            fs, name = _open(path)
+            end = fs.get_file_info(name).size
+            if self.mode == "PERMISSIVE":
+                end = sum(next(reversed(discover_blocks(path, self.mode)), (0, 0)))
+            head = read_header(path, None, self.mode)
             if head.block < 0:
                 continue
-            low = next(i for i, (at, _) in enumerate(found) if at == head.block)
-            while low < len(found):
-                high, size = low, 0
-                while high < len(found) and (high == low or size + found[high][1] <= self.size):
-                    size += found[high][1]
-                    high += 1
-                own = found[low:high]
-                if self.wanted is None or any(at in self.wanted for at, _ in own):
-                    # A record spans few blocks; a reader asks for more only while one is unfinished.
-                    out.append(_Part(path, own, found[high : high + 4096], head.offset if own[0][0] == head.block else -1, len(head.names), self.wanted))
-                low = high
-        return out or [_Part("", [], [], 0, 0, None)]
+            for low, high in ranges(head.block, end, max(self.size, LEAST_RANGE)):
+                some = None if wanted is None else frozenset(wanted[bisect.bisect_left(wanted, low) : bisect.bisect_left(wanted, high)])
+                if some is None or some:
+                    out.append(_Part(path, low, high, end, head.offset if low == head.block else -1, len(head.names), some))
+        return out or [_Part("", 0, 0, 0, 0, 0, None)]
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
-        if not partition.own:
+        if not partition.path:
             return
         fs, name = _open(partition.path)
         with fs.open_input_file(name) as f:
-            if self.kind == "count":
-                counts = Counter((block, flag) for block, flag, _ in self._records(partition, f))
-                rows = [(partition.path, block, flag, n) for (block, flag), n in counts.items()]
-                yield from _batches(iter(rows), _COUNT_TYPES)
-            elif self.kind == "flag":
-                yield from _batches(((partition.path, block, flag) for block, flag, _ in self._records(partition, f)), _FLAG_TYPES)
-            else:
+            if self.kind == "record":
                 yield from _batches((_fields(partition.path, *r) for r in self._records(partition, f)), _RECORD_TYPES)
-
-    def _records(self, part: _Part, f: pa.NativeFile) -> Iterator[tuple[int, int, bytes]]:
-        """Block, flag and body of the partition's matching records."""
-        own = {at for at, _ in part.own}
-        s = _Stream(f, part.own + part.after, self.mode)
+                return
+            counts: Counter = Counter()
+            for block, flag in self._flags(partition, f):
+                if self.kind == "flag":
+                    yield _columns(partition.path, [block, flag], _FLAG_TYPES)
+                else:
+                    keys, n = np.unique(block << 16 | flag, return_counts=True)
+                    counts.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
+            if counts:
+                keys = np.fromiter(counts, np.int64, len(counts))
+                yield _columns(partition.path, [keys >> 16, keys & 0xFFFF, np.fromiter(counts.values(), np.int64, len(counts))], _COUNT_TYPES)
+
+    def _opened(self, part: _Part, f: pa.NativeFile) -> tuple[_Stream, int]:
+        """The range's stream and the place of its first record; -1 if none starts in it."""
+        s = _Stream(f, walk_range(f, part.path, part.low, part.high, part.end, self.mode, part.offset >= 0), self.mode)
+        if not s.more():
+            return s, -1
         at = part.offset
         if at < 0:
-            s.more()
             at = first_record(s.data, part.refs)
             while at < 0:  # a record over whole blocks
-                if not s.starts or s.starts[-1][1] == part.own[-1][0] or not s.more():
-                    return
+                if s.end >= part.high or not s.more():
+                    next(s.left, None)  # for the check of the seam
+                    return s, -1
                 at = first_record(s.data, part.refs)
-        elif not s.more():
+        return s, at
+
+    def _flags(self, part: _Part, f: pa.NativeFile) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Blocks and flags of the partition's matching records, some blocks at a time."""
+        s, at = self._opened(part, f)
+        size_at = struct.Struct("<I").unpack_from
+        while at >= 0:
+            places, data, n = [], s.data, len(s.data)
+            while at + 4 <= n:
+                end = at + 4 + size_at(data, at)[0]
+                if end > n:
+                    break
+                if end - at >= 20:
+                    places.append(at)
+                at = end
+            if places:
+                raw, place = np.frombuffer(data, np.uint8), np.array(places)
+                starts = np.array(s.starts)
+                block = starts[np.searchsorted(starts[:, 0], place, "right") - 1, 1]
+                flag = raw[place + 18].astype(np.int64) | raw[place + 19].astype(np.int64) << 8
+                hit = (block < part.high) & (flag & self.mask.required == self.mask.required) & (flag & self.mask.forbidden == 0)
+                if self.flags is not None:
+                    hit &= np.isin(flag, np.fromiter(self.flags, np.int64, len(self.flags)))
+                if part.wanted is not None:
+                    hit &= np.isin(block, np.fromiter(part.wanted, np.int64, len(part.wanted)))
+                if hit.any() and not self.mask.is_empty:
+                    yield block[hit], flag[hit]
+            # The next record starts in a later range, or the blocks that follow are needed to finish it.
+            if s.end >= part.high and (at >= n or s.block(at) >= part.high):
+                next(s.left, None)  # for the check of the seam
+                return
+            at = s.cut(at)
+            if not s.more():
+                return
+            while len(s.data) < TOGETHER and s.end < part.high and s.more():
+                pass
+
+    def _records(self, part: _Part, f: pa.NativeFile) -> Iterator[tuple[int, int, bytes]]:
+        """Block, flag and body of the partition's matching records."""
+        s, at = self._opened(part, f)
+        if at < 0:
             return
         required, forbidden, refused = self.mask.required, self.mask.forbidden, self.mask.is_empty
         while True:
@@ -296,7 +390,7 @@ class BamReader(DataSourceReader):
             if not s.need(at + 4):
                 return
             block = s.block(at)
-            if block not in own:
+            if block >= part.high:
                 return
             (size,) = struct.unpack_from("<I", s.data, at)
             if not s.need(at + 4 + size):
@@ -335,6 +429,12 @@ def _fields(path: str, block: int, flag: int, body: bytes) -> tuple:
     return path, block, flag, qname, tid, pos, mapq, cigar, mtid, mpos, size, seq, body[at : at + bases]
 
 
+def _columns(path: str, columns: list[np.ndarray], types: list) -> pa.RecordBatch:
+    schema = pa.schema(types)
+    files = pa.DictionaryArray.from_arrays(np.zeros(len(columns[0]), np.int32), [path]).dictionary_decode()
+    return pa.RecordBatch.from_arrays([files, *(pa.array(c).cast(t) for c, t in zip(columns, schema.types[1:], strict=True))], schema=schema)
+
+
 def _batches(rows: Iterator[tuple], types: list, size: int = 4096) -> Iterator[pa.RecordBatch]:
     schema = pa.schema(types)
     held: list[tuple] = []

@@ -12,21 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.index import SCHEMA, build, merge_all
+from ..operators.index import SCHEMA, build, from_counts
 from ..plans.catalog import _path
 
 
 class StreamIndex:
     """Parts of an index below one folder."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, every: int = 256):
+        """``every`` so many batches the parts are folded into one; 0 leaves that to ``compact``."""
+        self.spark, self.root, self.every = spark, root.rstrip("/"), every
 
     def add(self, records: DataFrame, batch: int) -> None:
         """Index one micro-batch; the same batch again replaces itself."""
         if batch <= self._folded():
             return
         build(records).write.mode("overwrite").parquet(f"{self.root}/parts/batch={batch}")
+        if self.every and batch % self.every == self.every - 1:
+            self.compact()
 
     def start(self, records: DataFrame, checkpoint: str, **options: str) -> StreamingQuery:
         """Feed a streaming table of records."""
@@ -50,7 +53,9 @@ class StreamIndex:
         upto = self._folded()
         parts = [f"{self.root}/parts/batch={b}" for b in self._names("parts", "batch=") if b > upto]
         parts += [f"{self.root}/folded/upto={upto}"] if upto >= 0 else []
-        return merge_all([self.spark.read.schema(SCHEMA).parquet(p) for p in parts], self.spark)
+        if not parts:
+            return self.spark.createDataFrame([], SCHEMA)
+        return from_counts(self.spark.read.schema(SCHEMA).parquet(*parts))  # one scan, however many batches
 
     def compact(self) -> None:
         """Fold all parts into one, then delete them."""

@@ -9,11 +9,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from bitquarry import checks, queries
 from bitquarry.functions.flags import Mask
 from bitquarry.operators import index, query
-from bitquarry.queries import ORACLE, QUERIES
 from bitquarry.sources.records import lineitem_records
 
+QUERIES, ORACLE = queries.QUERIES | checks.QUERIES, queries.ORACLE | checks.ORACLE
 DIR = "/root/testdata/sf0.001"
 
 
