@@ -11,8 +11,9 @@ similarity of at least 1 / WINDOW and collides in some band with probability
 
 A retrieved template is verified exactly: a stretch of the document no longer
 than ``SPREAD`` times the template must contain at least ``threshold`` of the
-template's distinct shingles, and all shingles of the words in ``NEEDS``.  Windows without any template shingle cannot
-verify and are passed over before hashing.  Whole texts are scanned.
+template's distinct shingles, and all shingles of the words in ``NEEDS``.  Bands of all windows of whole texts are
+looked up, and nothing else picks the templates to verify; texts go through in groups, as a
+window costs ``BANDS`` products.
 
 Results for odd input: a null or empty text, or one of fewer than five words,
 has no match; repeated rows each give their matches; an empty table gives an
@@ -180,12 +181,32 @@ def _combined(h: np.ndarray) -> np.ndarray:
 _MULTIPLIERS = np.random.default_rng(3).integers(0, 1 << 63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _bands(window: np.ndarray) -> list[tuple[int, int]]:
-    return list(enumerate((window[None] * _MULTIPLIERS[:, None]).min(1).tolist()))
+NONE = np.uint64(np.iinfo(np.uint64).max)
+#: Shingles of texts that are scanned together, and a slice of them for which all bands are computed at once.
+TOGETHER = 1 << 17
+SLICE = 1 << 13
+#: Bytes of words whose hashes a task remembers.
+WORD_BYTES = 32 << 20
+
+
+def _minima(padded: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """Per band and window its minwise value; windows are two neighbouring rows of ``STEP`` shingles, and places that are not real hold none."""
+    low = np.empty((BANDS, len(padded)), np.uint64)
+    for b, multiplier in enumerate(_MULTIPLIERS):
+        low[b] = np.where(real, padded * multiplier, NONE).min(1)
+    return np.minimum(low[:, :-1], low[:, 1:])
+
+
+def _rows(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in rows of ``STEP`` with an empty row after them, and which places are real."""
+    rows = -(-len(s) // STEP) + 1
+    out = np.zeros(rows * STEP, np.uint64)
+    out[: len(s)] = s
+    return out.reshape(rows, STEP), (np.arange(rows * STEP) < len(s)).reshape(rows, STEP)
 
 
 class Scanner:
-    """Templates, the table of their windows' bands, and the scan of a text."""
+    """Templates, the table of their windows' bands, and the scan of texts."""
 
     def __init__(self, templates: Mapping[str, str], threshold: float):
         self.threshold = threshold
@@ -199,31 +220,47 @@ class Scanner:
         self.table: dict[tuple[int, int], set[str]] = {}
         for name, text in templates.items():
             s = _shingles(_WORD.findall(text.lower()))
-            for at in range(0, max(1, len(s) - STEP), STEP):
-                for band in _bands(s[at : at + WINDOW]):
-                    self.table.setdefault(band, set()).add(name)
-        self.all = np.unique(np.concatenate(list(self.templates.values())))
-        #: A word of each template shingle's first place: texts without any have no match.
-        self.starts = {w for text in templates.values() for w in _WORD.findall(text.lower())[: -SHINGLE + 1]}
+            if len(s):
+                for band, values in enumerate(_minima(*_rows(s)).tolist()):
+                    for value in values:
+                        self.table.setdefault((band, value), set()).add(name)
+        #: Per band, which last 16 bits its values end with: a first look before the table's.
+        self.ends = np.zeros((BANDS, 1 << 16), bool)
+        for band, value in self.table:
+            self.ends[band, value & 0xFFFF] = True
         self.hashes: dict[str, int] = {}
+        self.size = 0
+
+    def retrieve(self, texts: list[np.ndarray]) -> list[set[str]]:
+        """Of each text's shingles, the templates of which some window shares some band."""
+        found: list[set[str]] = [set() for _ in texts]
+        parts = [_rows(s) for s in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(p[0]) for p in parts])
+        padded, real = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        bands = np.arange(BANDS)[:, None]
+        for at in range(0, len(padded) - 1, SLICE):
+            low = _minima(padded[at : at + SLICE + 1], real[at : at + SLICE + 1])
+            band, window = np.nonzero(self.ends[bands, (low & np.uint64(0xFFFF)).astype(np.int64)])
+            for b, value, w in zip(band.tolist(), low[band, window].tolist(), window.tolist(), strict=True):
+                if names := self.table.get((b, value)):
+                    found[owner[at + w]] |= names
+        return found
 
     def scan(self, text: str) -> list[tuple[str, int, int, float]]:
-        low = text.lower()
-        if len(low) != len(text):  # a letter that grows in lower case would move offsets
-            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        words = _WORD.findall(low)
-        if len(words) < SHINGLE or self.starts.isdisjoint(words):
-            return []
-        # Words outside the templates need no hash of their own: none of their shingles can match.
-        s = _combined(np.array([self._hash(w) for w in words], np.uint64))
-        hit = np.isin(s, self.all)
-        if not hit.any():
-            return []
-        names: dict[str, None] = {}
-        places = np.flatnonzero(hit)
-        for k in sorted({w for p in places for w in range(max(0, -(-(p - WINDOW + 1) // STEP)), p // STEP + 1)}):
-            for band in _bands(s[k * STEP : k * STEP + WINDOW]):
-                names.update(dict.fromkeys(self.table.get(band, ())))
+        return self.scan_all([text])[0]
+
+    def scan_all(self, texts: list[str]) -> list[list[tuple[str, int, int, float]]]:
+        low = [t.lower() for t in texts]
+        for i, (t, x) in enumerate(zip(texts, low, strict=True)):
+            if len(x) != len(t):  # a letter that grows in lower case would move offsets
+                low[i] = "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
+        shingles = []
+        for x in low:
+            words = _WORD.findall(x)
+            shingles.append(_combined(np.array([self._hash(w) for w in words], np.uint64)) if len(words) >= SHINGLE else np.zeros(0, np.uint64))
+        return [self._verified(x, s, names) if names else [] for x, s, names in zip(low, shingles, self.retrieve(shingles), strict=True)]
+
+    def _verified(self, low: str, s: np.ndarray, names: set[str]) -> list[tuple[str, int, int, float]]:
         spans: list[tuple[int, int]] | None = None
         out = []
         for name in sorted(names):
@@ -248,12 +285,28 @@ class Scanner:
     def _hash(self, word: str) -> int:
         found = self.hashes.get(word)
         if found is None:
-            if len(self.hashes) > 400_000:
+            if self.size > WORD_BYTES:
                 self.hashes.clear()
+                self.size = 0
+            self.size += len(word) + 150
             found = self.hashes[word] = xxhash.xxh64_intdigest(word)
         return found
 
 
+def _together(texts: Iterator[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
+    """Texts in groups of about ``TOGETHER`` shingles."""
+    held: list[tuple[int, str]] = []
+    size = 0
+    for doc, text in texts:
+        held.append((doc, text))
+        size += len(text) // 6 + STEP
+        if size >= TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """One row per match: ``doc_id, license, start, end`` (code points), ``containment``."""
 
@@ -261,8 +314,10 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, threshold)
-        for batch in batches:
-            rows = [(i, *m) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in scanner.scan(t.as_py())]
+        every = ((i, t.as_py()) for batch in batches for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        for group in _together(every):
+            found = scanner.scan_all([text for _, text in group])
+            rows = [(doc, *m) for (doc, _), own in zip(group, found, strict=True) for m in own]
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()), strict=True)],
