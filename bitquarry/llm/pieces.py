@@ -1,19 +1,25 @@
 """SentencePiece encoding and decoding by a max-plus parallel scan.
 
-The ids are those of the sentencepiece library on the whole text with a BPE
-model: pieces merge by score, and a row of pieces is the encoding of its text
+A giant text is cut into chunks of about ``CHUNK`` characters.  A state at a
+cut says how the path through the pieces crosses it, or "between pieces".  A
+chunk yields the transfer matrix ``M[s, t]``: the value (sum of scores) of the
+chunk's best path from state s to state t, or minus infinity where there is
+none.  Matrices combine associatively in max-plus algebra (``combine``): groups
+of ``GROUP`` chunks are multiplied in tasks of their own, then the groups' products,
+which gives the values that can be reached at every cut.  With these each chunk
+is backtraced on its own, for each end state to its start state and ids, and the
+chain of states from the text's end picks among them.  Values are whole numbers,
+so any order of products gives the same path.
+
+With a unigram model (``Unigram``) the path is the lattice's best: a state is how far the piece that
+crosses the cut reaches beyond it.  Scores count as multiples of 2**-24, and ties go to the
+longer last piece; the library adds single-precision floats, so where it rounds, its path can differ.
+
+With a BPE model (``Model``) pieces merge by score, and a row of pieces is the encoding of its text
 exactly if every two neighbours are the encoding of theirs.  So an encoding can
-be put together from stretches that overlap in one piece, which is what the
-scan does.  A giant text is cut into chunks of about ``CHUNK`` characters.  The
-state at a cut is the piece that covers it (any that matches the text there), or
-"between words" where no piece can cross, as before a space-led word.  A chunk
-yields the transfer matrix ``M[s, t]``: the value (sum of scores) of the chunk's
-encoding from piece s to piece t, or minus infinity where the encoding of that
-stretch does not begin with s and end with t.  Matrices combine associatively in
-max-plus algebra (``combine``); their prefix products give the states that can
-be reached at every cut.  With these each chunk is backtraced on its own, for
-each end state to its start state and ids, and the chain of states from the
-text's end picks among them.
+be put together from stretches that overlap in one piece: a state is the piece that covers the cut
+(any that matches the text there), and an entry is minus infinity where the encoding of that
+stretch does not begin with s and end with t.  The ids are those of the library on the whole text.
 
 Within a stretch, words separate: no piece crosses the start of a space-led
 word, nor a character that no piece holds, so every distinct word goes through
@@ -24,8 +30,8 @@ is exact.  A run of spaces is never cut, however long.
 
 Results for odd input: a null or empty text has no ids; repeated rows each get
 their ids; a null id stays null; an empty table gives an empty result; a text
-with the letter U+2581 decodes to a space there; columns that are added replace
-equally named ones.
+with the letter U+2581 decodes to a space there, so it is not ``restored``; columns that are added
+replace equally named ones.
 """
 
 from __future__ import annotations
@@ -44,8 +50,11 @@ from .common import checkpoint, small_batches, text_or_empty, worker_state
 
 SPACE = "▁"
 CHUNK = 1 << 15
-#: Words in a generation of those that a worker remembers.
+#: Chunks whose matrices one task multiplies.
+GROUP = 64
+#: Words in a generation of those that a worker remembers, and about how many bytes they take at most.
 WORDS_KEPT = 100_000
+WORD_BYTES = 48 << 20
 LEAST = -(1 << 62)
 
 #: A state: the covering piece's (start, end) from the cut, or (0, 0) between words.
@@ -54,20 +63,19 @@ BETWEEN: State = (0, 0)
 
 
 class Model:
-    """Pieces and scores of a model file, and the encoding of words, chunks and texts."""
+    """Pieces and scores of a BPE model, and the encoding of words, chunks and texts."""
+
+    KIND, NAME, UNIT = 2, "BPE", 1.0
 
     def __init__(self, path: str):
         import sentencepiece
-        from sentencepiece import sentencepiece_model_pb2
 
-        proto = sentencepiece_model_pb2.ModelProto()
-        with open(path, "rb") as f:
-            proto.ParseFromString(f.read())
+        proto = _proto(path)
         spec, trainer = proto.normalizer_spec, proto.trainer_spec
         if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
             raise ValueError("only models with the identity normaliser can be cut here")
-        if trainer.model_type != 2 or not trainer.byte_fallback or trainer.treat_whitespace_as_suffix:
-            raise ValueError("only BPE models with byte fallback and space-led words can be cut here")
+        if trainer.model_type != self.KIND or not trainer.byte_fallback or trainer.treat_whitespace_as_suffix:
+            raise ValueError(f"only {self.NAME} models with byte fallback and space-led words can be cut here")
         self.pieces = [p.piece for p in proto.pieces]
         known = [(i, p) for i, p in enumerate(proto.pieces) if p.type == 1]
         self.normal = frozenset(p.piece for _, p in known)
@@ -75,7 +83,7 @@ class Model:
             raise ValueError("a piece crosses the start of a word")
         self.scores = np.zeros(len(self.pieces), np.int64)
         for i, p in known:
-            self.scores[i] = round(p.score)
+            self.scores[i] = round(p.score * self.UNIT)
         self.byte_of = {i: bytes([int(p.piece[3:5], 16)]) for i, p in enumerate(proto.pieces) if p.type == 6}
         self.raw = [self.byte_of.get(i) or x.encode() for i, x in enumerate(self.pieces)]
         self.longest = max(map(len, self.normal))
@@ -84,6 +92,7 @@ class Model:
         spec.add_dummy_prefix = False
         self.library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.size = 0
 
     @functools.cached_property
     def begins(self) -> set[str]:
@@ -107,10 +116,12 @@ class Model:
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         known, old = self.known
         new = words.difference(known)
-        if len(known) + len(new) > WORDS_KEPT:
+        weigh = lambda some: 200 * len(some) + 6 * sum(map(len, some))
+        if len(known) + len(new) > WORDS_KEPT or self.size + weigh(new) > WORD_BYTES:
             known, old = {}, known
-            self.known = known, old
+            self.known, self.size = (known, old), 0
             new = words
+        self.size += weigh(new)
         again = [w for w in new if w in old] if old else []
         known.update((w, old[w]) for w in again)
         unseen = list(new.difference(again))
@@ -213,6 +224,103 @@ class Model:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+class Unigram(Model):
+    """Pieces and scores of a unigram model: paths of the greatest sum of scores."""
+
+    KIND, NAME, UNIT = 1, "unigram", float(1 << 24)
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        proto = _proto(path)
+        if any(p.type == 4 for p in proto.pieces):
+            raise ValueError("a unigram model with pieces defined by hand cannot be cut here")
+        self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == 1}
+        self.unknown = round((min(p.score for p in proto.pieces if p.type == 1) - 10) * self.UNIT)  # as the library does
+        self.bytes = {raw[0]: i for i, raw in self.byte_of.items()}
+
+    def states(self, text: str, cut: int) -> list[State]:
+        """How far pieces that start before the cut reach beyond it."""
+        if self.between(text, cut):
+            return [BETWEEN]
+        out = {BETWEEN}
+        for low in range(max(0, cut - self.longest + 1), cut):
+            for high in range(cut + 1, min(len(text), low + self.longest) + 1):
+                if text[low:high] in self.ids:
+                    out.add((0, high - cut))
+        return sorted(out)
+
+    def _best(self, text: str, begin: int, end: int) -> tuple[list[int], list[tuple[int, int]]]:
+        """Per place from ``begin`` on: the best value of a path to it whose pieces all start before ``end``, and its last piece's start and id (-1: bytes)."""
+        size = min(len(text), end + self.longest) - begin + 1
+        best, came = [LEAST] * size, [(-1, -1)] * size
+        best[0] = 0
+        ids, scores, begins = self.ids, self.scores, self.begins
+        for low in range(end - begin):
+            if best[low] == LEAST:
+                continue
+            at, single = begin + low, False
+            for n in range(1, min(self.longest, size - 1 - low) + 1):
+                piece = text[at : at + n]
+                if piece not in begins:
+                    break
+                i = ids.get(piece)
+                if i is None:
+                    continue
+                single |= n == 1
+                value = best[low] + int(scores[i])
+                if value > best[low + n]:
+                    best[low + n], came[low + n] = value, (low, i)
+            if not single and best[low] + self.unknown > best[low + 1]:
+                best[low + 1], came[low + 1] = best[low] + self.unknown, (low, -1)
+        return best, came
+
+    def transfer(self, text: str, starts: list[State], ends: list[State], start: int, end: int) -> np.ndarray:
+        out = np.full((len(starts), len(ends)), LEAST, np.int64)
+        for i, s in enumerate(starts):
+            best, _ = self._best(text, start + s[1], end)
+            out[i] = [best[end + t[1] - start - s[1]] for t in ends]
+        return out
+
+    def backtrace(self, text: str, starts: list[State], ends: list[State], start: int, end: int, reached: list[int]) -> list[tuple[int, bytes]]:
+        paths = {i: self._best(text, start + s[1], end) for i, s in enumerate(starts) if reached[i] > LEAST}
+        out = []
+        for t in ends:
+            options = [(reached[i] + best[p], -i) for i, (best, _) in paths.items() if best[p := end + t[1] - start - starts[i][1]] > LEAST]
+            if not options:
+                out.append((-1, b""))
+                continue
+            i = -max(options)[1]
+            begin, came = start + starts[i][1], paths[i][1]
+            place, ids = end + t[1] - begin, []
+            while place:
+                low, piece = came[place]
+                ids += [piece] if piece >= 0 else [self.bytes[b] for b in reversed(text[begin + low : begin + place].encode("utf-8", "surrogatepass"))]
+                place = low
+            out.append((i, np.array(ids[::-1], "<i4").tobytes()))
+        return out
+
+
+def _proto(path: str):  # noqa: ANN202
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        proto.ParseFromString(f.read())
+    return proto
+
+
+def load(path: str) -> Model:
+    """The model of a file, by its kind."""
+    return (Unigram if _proto(path).trainer_spec.model_type == Unigram.KIND else Model)(path)
+
+
+def unit(n: int) -> np.ndarray:
+    """What leaves a matrix as it is in max-plus products."""
+    out = np.full((n, n), LEAST, np.int64)
+    np.fill_diagonal(out, 0)
+    return out
+
+
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Max-plus product of two transfer matrices."""
     return np.maximum((a[:, :, None] + b[None]).max(1), LEAST)
@@ -220,7 +328,7 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def model_of(path: str) -> Model:
     """One model per worker process, kept for its later tasks."""
-    return worker_state(("pieces", path), lambda: Model(path))
+    return worker_state(("pieces", path), lambda: load(path))
 
 
 _CHUNKS = "row long, part int, text string, start int, end int, starts array<int>, ends array<int>"
@@ -299,7 +407,7 @@ def _encoded(model: str, texts: Iterable[str]) -> Iterator[bytes]:
 
 
 def _restores(model: str, ids: bytes, text: str) -> bool:
-    return model_of(model).decode(np.frombuffer(ids, "<i4")) == text.replace(SPACE, " ")
+    return model_of(model).decode(np.frombuffer(ids, "<i4")) == text
 
 
 def _encode(docs: DataFrame, model: str, chunk: int, added: list[str], kind: str) -> tuple[DataFrame, DataFrame]:
@@ -336,21 +444,41 @@ def _scan(giants: DataFrame, model: str, chunk: int, kind: str) -> DataFrame:
                 matrix = m.transfer(r["text"], starts, _pairs(r["ends"]), r["start"], r["end"])
                 yield pa.RecordBatch.from_pydict({"row": [r["row"]], "part": pa.array([r["part"]], pa.int32()), "starts": pa.array([len(starts)], pa.int32()), "m": [matrix.tobytes()]})
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each text's matrices in order: the best values at every chunk's start states."""
-        now, product = None, np.zeros((1, 1), np.int64)
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each group's matrices in order: the product of those before each, and at last (part -1) of all."""
+        now, product, width = None, None, 0
+
+        def out(part: int) -> pa.RecordBatch:
+            columns = {"row": pa.array([now[0]], pa.int64()), "group": pa.array([now[1]], pa.int32()), "part": pa.array([part], pa.int32())}
+            return pa.RecordBatch.from_pydict(columns | {"width": pa.array([width], pa.int32()), "m": [product.tobytes()]})
+
         for batch in batches:
-            for row, part, n, raw in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                if row != now:
-                    now, product = row, np.zeros((1, 1), np.int64)
-                yield pa.RecordBatch.from_pydict({"row": [row], "part": pa.array([part], pa.int32()), "value": pa.array([product[0].tolist()], pa.list_(pa.int64()))})
+            for row, group, part, n, raw in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if (row, group) != now:
+                    if now is not None:
+                        yield out(-1)
+                    now, product, width = (row, group), unit(n), n
+                yield out(part)
                 product = combine(product, np.frombuffer(raw, np.int64).reshape(n, -1))
+        if now is not None:
+            yield out(-1)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each text's groups in order: the best values at their first cuts."""
+        now, value = None, np.zeros((1, 1), np.int64)
+        for batch in batches:
+            for row, group, n, raw in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if row != now:
+                    now, value = row, np.zeros((1, 1), np.int64)
+                yield pa.RecordBatch.from_pydict({"row": pa.array([row], pa.int64()), "group": pa.array([group], pa.int32()), "value": pa.array([value[0].tolist()], pa.list_(pa.int64()))})
+                value = combine(value, np.frombuffer(raw, np.int64).reshape(n, -1))
 
     def backtraces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_of(model)
         for batch in batches:
             for r in batch.to_pylist():
-                paths = m.backtrace(r["text"], _pairs(r["starts"]), _pairs(r["ends"]), r["start"], r["end"], r["value"])
+                value = combine(np.array([r["value"]], np.int64), np.frombuffer(r["m"], np.int64).reshape(r["width"], -1))
+                paths = m.backtrace(r["text"], _pairs(r["starts"]), _pairs(r["ends"]), r["start"], r["end"], value[0].tolist())
                 for j, (came, ids) in enumerate(paths):
                     yield pa.RecordBatch.from_pydict({"row": [r["row"]], "part": pa.array([r["part"]], pa.int32()), "end": pa.array([j], pa.int32()), "from": pa.array([came], pa.int32()), "ids": [ids]})
 
@@ -369,9 +497,14 @@ def _scan(giants: DataFrame, model: str, chunk: int, kind: str) -> DataFrame:
         if parts:
             yield _joined(now, parts, kind)
 
-    matrices = chunks.mapInArrow(transfers, "row long, part int, starts int, m binary")
-    values = matrices.repartition("row").sortWithinPartitions("row", "part").mapInArrow(prefixes, "row long, part int, value array<bigint>")
-    traced = chunks.join(values, ["row", "part"]).mapInArrow(backtraces, "row long, part int, end int, from int, ids binary")
+    group = F.floor(F.col("part") / GROUP).cast("int")
+    matrices = chunks.mapInArrow(transfers, "row long, part int, starts int, m binary").select("row", group.alias("group"), "part", "starts", "m")
+    inner = matrices.repartition("row", "group").sortWithinPartitions("row", "group", "part")
+    inner = checkpoint(inner.mapInArrow(within, "row long, group int, part int, width int, m binary"))
+    products = inner.filter("part < 0").select("row", "group", "width", "m")
+    firsts = products.repartition("row").sortWithinPartitions("row", "group").mapInArrow(across, "row long, group int, value array<bigint>")
+    reached = inner.filter("part >= 0").join(firsts, ["row", "group"]).drop("group")
+    traced = chunks.join(reached, ["row", "part"]).mapInArrow(backtraces, "row long, part int, end int, from int, ids binary")
     ordered = traced.repartition("row").sortWithinPartitions("row", F.desc("part"), "end").select(F.array(F.col("row"), F.col("part").cast("long")).alias("at"), "end", "from", "ids")
     return ordered.mapInArrow(chains, f"__bq_row long, ids {kind}")
 
