@@ -183,6 +183,8 @@ def redact(docs: DataFrame, text: str = "text", tag: str = "[PII]") -> DataFrame
     The running maximum of the spans' ends, again by doubling steps, tells
     where one run of overlapping spans stops and the next one starts.
     """
+    text = next((c for c in docs.columns if c.lower() == text.lower()), text)  # keeps the column's own spelling
+    docs = docs.withColumn("__bq_tag", F.lit(tag))
     steps = "transform(sequence(0, int(floor(log2(size(__bq_p))))), k -> shiftleft(1, k))"
     reach = f"aggregate({steps}, transform(__bq_p, s -> s.end), (acc, d) -> transform(acc, (x, i) -> if(i >= d, greatest(x, acc[i - d]), x)))"
     df = detect(docs, text, "__bq_pii", whole_context=True)
@@ -193,5 +195,5 @@ def redact(docs: DataFrame, text: str = "text", tag: str = "[PII]") -> DataFrame
         f"transform(__bq_f, (i, n) -> substr(`{text}`, if(n = 0, 0, __bq_r[i - 1]) + 1, __bq_p[i].start - if(n = 0, 0, __bq_r[i - 1])))"
     )
     tail = f"substr(`{text}`, element_at(__bq_r, -1) + 1)"
-    df = df.withColumn(text, F.expr(f"if(size(__bq_p) = 0, `{text}`, array_join(array_append({kept}, {tail}), '{tag}'))"))
-    return df.drop("__bq_pii", "__bq_p", "__bq_r", "__bq_f")
+    df = df.withColumn(text, F.expr(f"if(size(__bq_p) = 0, `{text}`, array_join(array_append({kept}, {tail}), __bq_tag))"))
+    return df.drop("__bq_pii", "__bq_p", "__bq_r", "__bq_f", "__bq_tag")
