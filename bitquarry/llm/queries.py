@@ -91,13 +91,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def _pii_kind(kind: str, pattern: str, valid: str, context: str | None = None) -> str:
-    """CTEs: ``<kind>_s`` has per row the kind's valid spans as strings kind:start:end."""
-    near = f"AND (regexp_matches(right(g[i], 40), '{context}') OR regexp_matches(left(g[i + 1], 40), '{context}'))" if context else ""
+def _pii_kind(kind: str, pattern: str, valid: str, context: str | None = None, whole: bool = False) -> str:
+    """CTEs: ``<kind>_s`` has per row the kind's valid spans as strings kind:start:end.
+
+    Context is what stands between neighbouring matches, or ``whole`` in the text.
+    """
+    before, after = ("right(left(t, CAST(e - length(x) AS BIGINT)), 40)", "substr(t, CAST(e AS BIGINT) + 1, 40)") if whole else ("right(g[i], 40)", "left(g[i + 1], 40)")
+    near = f"AND (regexp_matches({before}, '{context}') OR regexp_matches({after}, '{context}'))" if context else ""
     return f"""
-{kind}_m AS (SELECT r, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM docs),
-{kind}_x AS (SELECT r, m[i] AS x, g, i, list_sum(list_transform(range(1, i + 1), lambda k: length(g[k]) + length(m[k]))) AS e
-             FROM (SELECT r, m, g, unnest(range(1, len(m) + 1)) AS i FROM {kind}_m)),
+{kind}_m AS (SELECT r, t, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM docs),
+{kind}_x AS (SELECT r, t, m[i] AS x, g, i, list_sum(list_transform(range(1, i + 1), lambda k: length(g[k]) + length(m[k]))) AS e
+             FROM (SELECT r, t, m, g, unnest(range(1, len(m) + 1)) AS i FROM {kind}_m)),
 {kind}_s AS (SELECT r, list(concat('{kind}:', CAST(e - length(x) AS BIGINT), ':', CAST(e AS BIGINT)) ORDER BY i) AS s
              FROM {kind}_x WHERE {valid} {near} GROUP BY r)"""
 
@@ -112,31 +116,31 @@ _SQL_MOD97 = (
     f"CAST(list_aggregate(list_transform(string_split(concat(substr({_SQL_PLAIN}, 5), substr({_SQL_PLAIN}, 1, 4)), ''), "
     "lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE CAST(ascii(c) - 55 AS VARCHAR) END), 'string_agg', '') AS HUGEINT) % 97 = 1"
 )
-_PII_SQL = (
-    "WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),"
-    + ",".join(
-        [
-            _pii_kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
-            _pii_kind("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(x, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0"),
-            _pii_kind("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_SQL_DIGITS}) BETWEEN 16 AND 19 AND {_SQL_LUHN}"),
-            _pii_kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_SQL_DIGITS}) BETWEEN 8 AND 15"),
-            _pii_kind("iban", r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)", f"length({_SQL_PLAIN}) BETWEEN 15 AND 34 AND {_SQL_MOD97}"),
-            _pii_kind(
-                "ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "NOT (regexp_matches(x, '^(000|666|9)') OR x LIKE '___-00-____' OR x LIKE '%-0000')", "(?i)ssn|social|security|taxpayer"
-            ),
-        ]
-    )
-    + """
+def _pii_sql(whole: bool) -> str:
+    kinds = [
+        _pii_kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        _pii_kind("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(x, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0"),
+        _pii_kind("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_SQL_DIGITS}) BETWEEN 16 AND 19 AND {_SQL_LUHN}"),
+        _pii_kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_SQL_DIGITS}) BETWEEN 8 AND 15"),
+        _pii_kind("iban", r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)", f"length({_SQL_PLAIN}) BETWEEN 15 AND 34 AND {_SQL_MOD97}"),
+        _pii_kind(
+            "ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "NOT (regexp_matches(x, '^(000|666|9)') OR x LIKE '___-00-____' OR x LIKE '%-0000')", "(?i)ssn|social|security|taxpayer", whole
+        ),
+    ]
+    return "WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents)," + ",".join(kinds) + _PII_END
+
+
+_PII_END = """
 SELECT doc_id, CAST(coalesce(len(email_s.s), 0) AS BIGINT) AS n_email, CAST(coalesce(len(ip_s.s), 0) AS BIGINT) AS n_ip,
        CAST(coalesce(len(card_s.s), 0) AS BIGINT) AS n_card, CAST(coalesce(len(phone_s.s), 0) AS BIGINT) AS n_phone,
        sha256(array_to_string(list_concat(email_s.s, ip_s.s, card_s.s, phone_s.s), ',')) AS base_sha256,
        array_to_string(list_concat(email_s.s, ip_s.s, card_s.s, phone_s.s, iban_s.s, ssn_s.s), ',') AS spans
 FROM docs LEFT JOIN email_s USING (r) LEFT JOIN ip_s USING (r) LEFT JOIN card_s USING (r) LEFT JOIN phone_s USING (r)
      LEFT JOIN iban_s USING (r) LEFT JOIN ssn_s USING (r)"""
-)
 
 ORACLE: dict[str, str] = {
-    "op1_pii": _PII_SQL,
+    "op1_pii": _pii_sql(whole=False),
+    "op1_pii_whole": _pii_sql(whole=True),
     "op2_topk": """
 WITH x AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
@@ -176,5 +180,20 @@ n AS (SELECT doc_id, unit, pos + length(x) - length(regexp_replace(x, '^\s+', ''
              array_to_string(list_filter(regexp_split_to_array(lower(x), '\s+'), lambda w: w <> ''), ' ') AS k FROM p),
 f AS (SELECT *, first_value(doc_id) OVER w AS first_doc_id, first_value(unit) OVER w AS first_unit FROM n WHERE len(string_split(k, ' ')) >= 6
       WINDOW w AS (PARTITION BY k ORDER BY doc_id, unit))
+SELECT doc_id, unit, start AS start_char, "end" AS end_char, first_doc_id, first_unit FROM f WHERE (doc_id, unit) <> (first_doc_id, first_unit)""",
+    "op4_line_dedup_whole": r"""
+WITH d AS (SELECT doc_id, text AS t FROM documents WHERE text <> ''),
+c AS (SELECT doc_id, t, 'line' AS kind, replace(t, chr(10), chr(10) || chr(1)) AS u FROM d
+      UNION ALL SELECT doc_id, t, 'paragraph', regexp_replace(t, '\n([ \t\r\f\x0B]*\n)+', '\0' || chr(1), 'g') FROM d
+      UNION ALL SELECT doc_id, t, 'sentence', replace(regexp_replace(t, '([.!?])( )', '\1' || chr(1) || '\2', 'g'), chr(10), chr(10) || chr(1)) FROM d),
+p AS (SELECT doc_id, t, kind, u[i] AS x, CAST(coalesce(list_sum(list_transform(u[1:i - 1], lambda y: length(y))), 0) AS BIGINT) AS pos
+      FROM (SELECT doc_id, t, kind, u, unnest(range(1, len(u) + 1)) AS i FROM (SELECT doc_id, t, kind, string_split(u, chr(1)) AS u FROM c)) WHERE u[i] <> ''),
+s AS (SELECT doc_id, any_value(t) AS t, pos + length(x) - length(regexp_replace(x, '^\s+', '')) AS start,
+             greatest(pos + length(x) - length(regexp_replace(x, '^\s+', '')), pos + length(regexp_replace(x, '\s+$', ''))) AS "end", bool_and(kind = 'sentence') AS sentence
+      FROM p GROUP BY doc_id, 3, 4),
+n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end" DESC) - 1 AS unit, start, "end", sentence,
+             list_filter(regexp_split_to_array(lower(substr(t, CAST(start + 1 AS BIGINT), CAST("end" - start AS BIGINT))), '\s+'), lambda w: w <> '') AS w FROM s),
+f AS (SELECT *, first_value(doc_id) OVER o AS first_doc_id, first_value(unit) OVER o AS first_unit FROM n WHERE len(w) >= CASE WHEN sentence THEN 6 ELSE 1 END
+      WINDOW o AS (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, unit))
 SELECT doc_id, unit, start AS start_char, "end" AS end_char, first_doc_id, first_unit FROM f WHERE (doc_id, unit) <> (first_doc_id, first_unit)""",
 }
