@@ -86,6 +86,24 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+#: Bits of the table in ``passing``; its rows hold 64 of them.
+BITS = 26
+
+
+def passing(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose ``on`` may be among those of ``wanted``, and few others.
+
+    A table of bits, at most ``2**BITS / 64`` rows, is broadcast, so what does
+    not pass is never shuffled; where ``wanted`` is so large that it sets most bits,
+    all rows pass.  An exact join must follow.
+    """
+    bit = F.pmod(F.xxhash64(*on), F.lit(1 << BITS))
+    word, mask = F.shiftright(bit, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    table = wanted.select(word.alias("__bq_word"), mask.alias("__bq_bits")).groupBy("__bq_word").agg(F.bit_or("__bq_bits").alias("__bq_bits"))
+    marked = rows.withColumn("__bq_word", word).join(F.broadcast(table), "__bq_word")
+    return marked.filter(F.col("__bq_bits").bitwiseAND(mask) != 0).select(*rows.columns)
+
+
 _STATE: dict[Hashable, Any] = {}
 
 

@@ -29,7 +29,7 @@ Equal sets are one vertex with a number of its own, so thousands of copies cost
 a row each.  Nodes with so many members that they would be hot keys are at most
 ``HOT``, as each holds more than that part of all memberships; they are joined
 by broadcast, and all others by a shuffle.  Texts are read again only where a
-bit table of the clustered rows (at most ``2**BITS / 64`` rows, broadcast) lets
+bit table of the clustered rows (``common.passing``) lets
 them pass, so documents without candidates are not shuffled.
 
 Results for odd input: a null or empty text, or one without words, has the
@@ -53,7 +53,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, runs, small_batches, text_or_empty, worker_state
+from .common import checkpoint, passing, runs, small_batches, text_or_empty, worker_state
 from .components import connected, forest
 
 SKETCH = 64
@@ -66,7 +66,6 @@ AGREE = 32
 BLOCK = 2_000_000
 LEAST_PERCENT = 80
 HOT = 4096
-BITS = 26
 #: What names a row: its id and its text's digests.
 ROW = ["doc_id", "h1", "h2"]
 #: Bytes of words that a worker remembers.
@@ -302,13 +301,7 @@ def _own(column: str) -> list[Column]:
 
 def _read_again(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``rep, text`` of the rows that ``wanted(rep, doc_id, h1, h2)`` names."""
-    bit = F.pmod(F.xxhash64("doc_id", "h1"), F.lit(1 << BITS))
-    word, mask = F.shiftright(bit, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
-    table = wanted.select(word.alias("__bq_word"), mask.alias("bits"))
-    table = table.groupBy("__bq_word").agg(F.bit_or("bits").alias("bits"))  # at most 2**BITS / 64 rows
-    passed = rows.withColumn("__bq_word", word).join(F.broadcast(table), "__bq_word")
-    passed = passed.filter(F.col("bits").bitwiseAND(mask) != 0)
-    return passed.select(*ROW, "text").join(wanted, ROW).select("rep", "text")
+    return passing(rows, wanted, ["doc_id", "h1"]).select(*ROW, "text").join(wanted, ROW).select("rep", "text")
 
 
 def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
