@@ -5,16 +5,15 @@ thresholds ``t_0 < t_1 < ...``; the expected severity is the sum of these.  The
 features are sparse presences of a document's words and of their first four and
 five letters (inflected and compounded forms share a stem).
 
-Labels name toxic documents; their grades 1 and 2 tell how much of the wording
-is: of the toxic training documents, those with more strongly associated
-features than the median are grade 2.  Labels of more than two
-values are taken as grades as they are.
+Labels are the grades: their distinct values in order are the levels, one
+threshold between every two.  Labels of two values make one threshold, and the
+expected severity is then the probability of the upper one.
 
 The model is fitted on at most ``SAMPLE`` labelled documents (the smallest
-hashes of their ids) with ``FEATURES`` features whose presence speaks most clearly for a higher label
-(no feature speaks against one, so harmless text around an insult hides nothing);
-both bounds are parameters, and the model's size follows from them.  Scoring
-reads every whole text.
+hashes of their ids), with all features whose presence speaks clearly for a higher label
+(no feature speaks against one, so harmless text around an insult hides nothing).
+The sample bounds their number, and ``FEATURES`` the model's size should they be more;
+both are parameters.  Scoring reads every whole text.
 
 Results for odd input: a null or empty text has no features and the severity of
 that; labels that are null or of absent documents are left out; of several
@@ -38,13 +37,15 @@ from pyspark.sql import functions as F
 from .common import small_batches, text_or_empty, worker_state
 
 SAMPLE = 6000
-FEATURES = 512
+FEATURES = 1 << 16
 #: A feature stands in so many sampled documents, and its share differs between labels by so many standard errors.
 LEAST_DOCS = 4
 LEAST_Z = 5.0
 STEPS = 1500
 RIDGE = 1e-6
+#: Words that a worker remembers, and how long they are at most.
 WORDS_KEPT = 200_000
+WORD_KEPT = 64
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -73,9 +74,14 @@ class Model:
             if len(cache) + len(new) > WORDS_KEPT:
                 cache.clear()
                 new = words
+            found: set[int] = set()
             for w in new:
-                cache[w] = tuple(f for f in features_of(w) if f in self.weights)
-            found = {f for fs in filter(None, map(cache.__getitem__, words)) for f in fs}
+                own = tuple(f for f in features_of(w) if f in self.weights)
+                found.update(own)
+                if len(w) <= WORD_KEPT:
+                    cache[w] = own
+            for w in words - new:
+                found.update(cache[w])
             out[i] = _sigmoid(sum(self.weights[f] for f in sorted(found)) - self.thresholds)
         return out
 
@@ -107,13 +113,7 @@ def fit_rows(features: list[np.ndarray], labels: np.ndarray, most: int = FEATURE
     place = np.full(len(values), -1)
     place[picked] = np.arange(len(picked))
     inside = place[column] >= 0
-    if len(np.unique(labels)) > 2:
-        grade = np.unique(labels, return_inverse=True)[1]
-    else:
-        strong = z >= 0.25 * z.max()
-        many = np.bincount(row[strong[column]], minlength=len(features))
-        grade = toxic.astype(int) + (toxic & (many > np.median(many[toxic])))
-        grade = np.unique(grade, return_inverse=True)[1]
+    grade = np.unique(labels, return_inverse=True)[1]
     w, t = _descend(row[inside], place[column[inside]], len(picked), grade)
     return Model({int(values[picked[i]]): float(w[i]) for i in range(len(picked)) if w[i]}, t)
 

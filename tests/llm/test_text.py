@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections import Counter, defaultdict
 
@@ -75,6 +76,14 @@ def test_pii_redaction(make, odd, empty):
     assert pii.digest(pii.detect(odd)).count() == odd.count() and pii.redact(empty).count() == 0
 
 
+def test_pii_tags_and_names(make):
+    """A tag with quotes, and a column that is spelt otherwise."""
+    rows = make([(1, "mail a@b.de"), (2, "none")])
+    got = pii.redact(rows.withColumnRenamed("text", "TEXT"), tag="it's \\ \"x\"")
+    assert got.columns == ["doc_id", "TEXT", "lang", "source", "n_chars"]
+    assert {r["doc_id"]: r["TEXT"] for r in got.collect()} == {1: "mail it's \\ \"x\"", 2: "none"}
+
+
 def test_pii_scores(make):
     rows = make([(1, "call me: +49 30 1234567"), (2, "value +49 30 1234567")])
     score = {r["doc_id"]: r["pii"][0]["score"] for r in pii.detect(rows).collect()}
@@ -123,6 +132,26 @@ def test_line_dedup_against_brute_force(spark):
     assert set(map(tuple, line_dedup.duplicates(docs, "line", 3).collect())) == want and want
 
 
+def test_line_dedup_of_repeated_ids(make):
+    """Rows that share an id lose their own units alone; copies of a whole row are one document in rank."""
+    other = "this different text must stay whole because nothing repeats"
+    given = [(1, LONG), (6, LONG), (6, other), (6, f"x y\n{LONG}\n{other} not"), (9, f"{LONG}\n{LONG}"), (9, f"{LONG}\n{LONG}"), (None, LONG), (-5, "one row\nwith a negative id is first of all")]
+    got = sorted(((r["doc_id"], r["text"]) for r in line_dedup.remove(make(given), "line").collect()), key=repr)
+    assert got == sorted([(1, LONG), (6, ""), (6, other), (6, f"x y\n\n{other} not"), (9, "\n"), (9, "\n"), (None, ""), given[-1]], key=repr)
+    low = [(-5, "a b c d e f g"), (-6, "a b c d e f g"), (3, "a b c d e f g"), ((1 << 63) - 2, "a b c d e f g"), (-(1 << 63), "a b c d e f g")]
+    found = sorted((r["doc_id"], r["first_doc_id"]) for r in line_dedup.duplicates(make(low)).collect())
+    assert found == sorted((d, -(1 << 63)) for d, _ in low if d != -(1 << 63))
+    first = line_dedup.duplicates(make([(4, LONG), (4, LONG + " eight"), (4, LONG)])).collect()
+    assert first == []  # the same row twice is one occurrence
+
+
+def test_line_dedup_hot_unit(make, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 4)
+    rows = [(i, f"{LONG}\nline number {i // 2} of all these lines here") for i in range(300)]
+    got = line_dedup.duplicates(make(rows), "line").collect()
+    assert len(got) == 299 + 150 and {r["first_doc_id"] for r in got if r["unit"] == 0} == {0}
+
+
 def test_line_dedup_whole(make, odd, empty):
     """Short lines, and long lines of short sentences, repeat too."""
     given = [(1, f"All rights reserved.\nNo. Yes. Maybe so. Not at all. Go on.\n{LONG}. Then x."), (2, f"x\nall rights  reserved.\nNo. Yes. Maybe so. Not at all. Go on.\nGo on. {LONG}."), (3, "All rights\nreserved.")]
@@ -181,6 +210,39 @@ def test_license_wordings_and_versions():
         assert [m[0] for m in scanner.scan(text)] == [want]
 
 
+def test_licenses_by_words(spark):
+    """Names, offsets and containment against tuples of words, without the operator's hashes; the bands lose none."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words = lambda text: [(m[0], *m.span()) for m in re.finditer("[a-z0-9]+", text.lower())]
+    grams = lambda ws: [tuple(w[0] for w in ws[i : i + 5]) for i in range(len(ws) - 4)]
+    templates = {name: (set(grams(words(text))), int((len(words(text)) - 4) * 1.5) + 1) for name, text in licenses.TEMPLATES.items()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = licenses.scan(docs).collect()
+    for r in got:
+        ws = [w for w in words(texts[r["doc_id"]]) if r["start"] <= w[1] and w[2] <= r["end"]]
+        own, wide = templates[r["license"]]
+        assert ws[0][1] == r["start"] and ws[-1][2] == r["end"] and len(grams(ws)) <= wide
+        assert abs(len(own & set(grams(ws))) / len(own) - r["containment"]) < 1e-9 and r["containment"] >= 0.8
+    want = set()
+    for doc, text in texts.items():
+        if len(text) == len(text.lower()):
+            g = grams(words(text))
+            for name, (own, wide) in templates.items():
+                at = [i for i, x in enumerate(g) if x in own]
+                if any(len({g[j] for j in at if i <= j < i + wide}) >= 0.8 * len(own) for i in at):
+                    want.add((doc, name))
+    found = {(r["doc_id"], r["license"]) for r in got}
+    assert len(want) > 30 and len(found & want) >= 0.999 * len(want) and found <= want | {(d, n) for d, n in found if len(texts[d]) != len(texts[d].lower())}
+
+
+def test_licenses_far_into_long_texts(make):
+    """Windows of all places are looked up, in groups of texts too."""
+    notice = licenses.TEMPLATES["MIT-permission"]
+    rows = [(i, "filler words here " * (40 * i) + notice + " more") for i in range(30)] + [(99, " ".join(f"w{k}" for k in range(60000)) + " " + notice)]
+    got = sorted((r["doc_id"], r["start"]) for r in licenses.scan(make(rows)).collect() if r["license"] == "MIT-permission")
+    assert got == [(i, t.index(notice)) for i, t in rows]
+
+
 def test_licenses_against_brute_force(spark):
     """Templates whose shingles a stretch contains, tried at every place of every document."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -212,6 +274,44 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score(odd, none).filter("toxic").count() == 0 and not none.weights
 
 
+def test_toxicity_fit_is_the_likelihoods_maximum():
+    """Against brute force: no step from the fitted weights and thresholds, in any direction tried, is likelier."""
+    rng = np.random.default_rng(5)
+    grade = rng.integers(0, 4, 400)
+    has = rng.random((400, 3)) < (0.2 + 0.2 * grade[:, None]) * np.array([1.0, 0.7, 0.4])
+    row, column = np.nonzero(has)
+
+    def loss(w, t):
+        p = 1 / (1 + np.exp(-((has @ w)[:, None] - t)))
+        above = grade[:, None] > np.arange(3)
+        return -np.where(above, np.log(p), np.log(1 - p)).sum() / len(grade) + toxicity.RIDGE / len(grade) * (w**2).sum() / 2
+
+    w, t = toxicity._descend(row, column, 3, grade)
+    best = loss(w, t)
+    steps = [s * x for x in np.eye(6) for s in (0.05, -0.05)] + [0.05 * x / np.linalg.norm(x) for x in rng.normal(size=(200, 6))]
+    assert all(loss(w + s[:3], t + s[3:]) > best - 1e-9 for s in steps) and (np.diff(t) > 0).all()
+    grid = [(a, b, c) for a in np.linspace(-1, 3, 9) for b in np.linspace(-1, 3, 9) for c in np.linspace(-1, 3, 9)]
+    assert best <= min(loss(np.array(g), t) for g in grid)
+
+
+def test_toxicity_severity_of_held_out_grades(make, spark):
+    """Ordinal labels: the expected severity of unseen documents follows their grade."""
+    rng = np.random.default_rng(6)
+    bad = [["rotten", "filthy"], ["vile", "wretched"], ["abominable", "despicable"]]
+    rows, marks = [], []
+    for i in range(1200):
+        g = int(rng.integers(0, 4))
+        words = ["".join(rng.choice(list("klmnostu"), 5)) for _ in range(20)] + [bad[k][rng.integers(0, 2)] for k in range(g)]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        marks.append((i, g))
+    docs, labels = make(rows), spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels.filter("doc_id < 800"))
+    got = toxicity.score(docs.filter("doc_id >= 800"), model).join(labels.withColumnRenamed("toxic", "label"), "doc_id").toPandas()
+    assert len(model.thresholds) == 3 and (np.diff(model.thresholds) > 0).all()
+    assert (got["grade"] == got["label"]).mean() > 0.95 and (got["severity"] - got["label"]).abs().mean() < 0.15
+
+
 def test_toxicity_grades():
     """More than two labels are grades that share their weights."""
     rng = np.random.default_rng(0)
@@ -250,6 +350,87 @@ def test_mixing(make, target):
     assert got.sort_values("doc_id")["copies"].tolist() == again.sort_values("doc_id")["copies"].tolist()
 
 
+def test_mixing_is_what_was_asked(make):
+    """Steep weights by exponents above 1; a target that no exponent meets is an error; sources of any type."""
+    rows = [(i, "w " * 10) for i in range(1000)]
+    docs = make(rows, source=lambda i: "big" if i % 10 else "small")
+    steep = mixing.plan(docs, mixing.Target(entropy=0.1)).toPandas()
+    tokens = {"big": 9000, "small": 1000}
+    w = mixing.weights(tokens, alpha := mixing.solve(tokens, mixing.Target(entropy=0.1)))
+    assert alpha > 1 and abs(mixing.entropy(w) - 0.1) < 1e-6
+    read = (steep["n_tokens"] * steep["copies"]).groupby(steep["source"]).sum()
+    assert all(0 <= 10000 * w[s] - read[s] <= 10 for s in w)
+    for bad in (mixing.Target(repeats=2, budget=5), mixing.Target(entropy=1.0), mixing.Target(entropy=-0.5)):
+        with pytest.raises(ValueError):
+            mixing.plan(docs, bad)
+    numbered = docs.withColumn("source", (F.col("doc_id") % 3).cast("int"))
+    assert mixing.plan(numbered, mixing.Target(repeats=2.0)).count() == 1000
+    assert mixing.mix(numbered, mixing.Target(repeats=2.0, budget=None)).schema == numbered.schema
+
+
+def mixed_by_force(rows, target):
+    """``copies`` from the definition: whole epochs, then the blocks' and the documents' order up to the budget."""
+    from collections import defaultdict as dd
+
+    tokens, docs = dd(int), dd(int)
+    for r in rows:
+        tokens[r["source"]] += len((r["text"] or "").split())
+        docs[r["source"]] += 1
+    w = mixing.weights(tokens, mixing.solve(tokens, target))
+    budget = mixing.total_budget(tokens, w, target)
+    return {s: (budget * w[s], tokens[s], docs[s]) for s in tokens}
+
+
+@pytest.mark.parametrize("target", [mixing.Target(repeats=1.5), mixing.Target(entropy=0.9), mixing.Target(repeats=2.0, budget=None)])
+def test_mixing_against_brute_force(make, target, monkeypatch):
+    """Copies and order: the last epoch's prefix is the greatest that fits; ``mix`` gives the plan's copies, block after block."""
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    monkeypatch.setattr(mixing, "GROUP", 4)
+    rows = [(i, "w " * (i % 9)) for i in range(1500)] + [(7, "w w w")] * 5
+    docs = make(rows, source=lambda i: "hot" if i % 3 else "mid" if i % 2 else "rare")
+    got = mixing.plan(docs, target)
+    p = mixing._Plan(docs, target, 0)
+    every = p.dealt.collect()
+    budgets = mixed_by_force(docs.collect(), target)
+    for source, (share, tokens, _) in budgets.items():
+        own = sorted((r for r in every if r["__bq_of"] == source), key=lambda r: (r["__bq_turn"], r["__bq_block"], r["__bq_inner"], r["__bq_key"]))
+        epochs = int(share / tokens * (1 + 1e-12))
+        left, sums = share - epochs * tokens, Counter()
+        groups = {}
+        for r in own:  # equal rows enter together
+            groups.setdefault((r["__bq_turn"], r["__bq_block"], r["__bq_inner"], r["__bq_key"]), []).append(r["n_tokens"])
+        at = 0
+        for place, sizes in groups.items():
+            at += sum(sizes)
+            sums[place[3]] = (epochs + (at <= left * (1 + 1e-12) and not (epochs and left < 0.5))) * len(sizes)
+        copies = Counter()
+        for r in got.filter(F.col("source") == source).select(F.xxhash64(F.lit(0), F.col("doc_id").cast("string"), "text").alias("key"), "copies").collect():
+            copies[r["key"]] += r["copies"]
+        assert copies == sums and sum(copies.values()) > 0
+    mixed = mixing.mix(docs, target)
+    want = Counter()
+    for r in got.collect():
+        want[r["doc_id"], r["text"]] += r["copies"]
+    out = mixed.collect()
+    assert Counter((r["doc_id"], r["text"]) for r in out) == +want
+    # In the first tenths of the mixed corpus, sources stand in their weights.
+    total = sum(len(r["text"].split()) for r in out)
+    shares, at = Counter(), 0
+    for r in out:
+        at += (n := len(r["text"].split()))
+        if at > 0.5 * total:
+            break
+        shares[r["source"]] += n
+    whole = sum(s for s, _, _ in budgets.values())
+    assert all(abs(shares[s] / (0.5 * total) - budgets[s][0] / whole) < 0.08 for s in budgets)
+    # Block after block: a block's documents follow each other among their source's.
+    block = {r["__bq_key"]: (r["__bq_of"], r["__bq_block"]) for r in every}
+    keys = mixed.select(F.xxhash64(F.lit(0), F.col("doc_id").cast("string"), "text").alias("key")).collect()
+    for source in budgets:
+        runs = [k for k, _ in itertools.groupby(block[r["key"]][1] for r in keys if block[r["key"]][0] == source)]
+        assert len(runs) <= (max(r["copies"] for r in got.collect()) + 1) * len({b for s, b in block.values() if s == source})
+
+
 def test_mixing_odd(odd, empty):
     t = mixing.Target(repeats=3.0, budget=None)
     plan = mixing.plan(odd, t)
