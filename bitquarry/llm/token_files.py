@@ -21,8 +21,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +34,11 @@ from .common import fresh_path, small_batches, text_or_empty, worker_state
 
 SEQ_LEN = 2048
 BATCH_ROWS = 256
-#: Words in a generation of those that a worker remembers.
+#: Words in a generation of those that a worker remembers, and about how many bytes they take at most.
 WORDS_KEPT = 800_000
+WORD_BYTES = 192 << 20
+#: Tokens that a task reads back, about.
+READ_TOKENS = 1 << 23
 #: Characters encoded together.
 CHUNK_CHARS = 2_000_000
 
@@ -50,7 +52,8 @@ class WordEncoder:
     The pre-tokenizer always has a boundary before a space that follows no
     white space, so a text's ids are the ids of its space-led words in a row.
     Every distinct word goes through the tokenizers library, many words to a
-    call; texts with runs of white space go through it whole.
+    call; texts with runs of white space go through it whole.  Tokenizers for
+    which this does not hold are refused.
     """
 
     def __init__(self, path: str):
@@ -58,15 +61,17 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        _check(self.tokenizer)
         vocabulary = self.tokenizer.get_vocab()
         top = max(vocabulary.values()) + 1
         self.dtype = "<u2" if top <= 1 << 16 else "<u4"
         #: Ids that begin with a space: in a row of words each word has one, its first.
         self.leads = np.zeros(top, bool)
         self.leads[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True
-        self.odd: set[str] = set()
-        #: By whether a space leads the word: words met lately, and before.
+        #: By whether a space leads the word: words met lately, and before; and those that a space must not follow.
         self.known: dict[bool, tuple[dict[str, bytes], dict[str, bytes]]] = {False: ({}, {}), True: ({}, {})}
+        self.odd: dict[bool, dict[str, bytes]] = {False: {}, True: {}}
+        self.size = {False: 0, True: 0}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -85,43 +90,89 @@ class WordEncoder:
         return out
 
     def _learn(self, words: set[str], led: bool) -> dict[str, bytes]:
-        """A map that has all the words; of new ones, ``odd`` gets those that a space must not follow.
+        """The ids of words that are not among those met lately.
 
         Words come in two generations: a full one becomes the old one, from
         which words that are met again move on, so rare words are forgotten.
+        Odd words, empty or with white space at their end, have a memory of their own.
         """
+        plain = {w for w in words if w and not w[-1].isspace()}
         known, old = self.known[led]
-        new = words.difference(known)
-        if len(known) + len(new) > WORDS_KEPT:
+        if len(known) + len(plain) > WORDS_KEPT or self.size[led] + _bytes_of(plain) > WORD_BYTES:
             known, old = {}, known
-            self.known[led] = known, old
-            new = words
-        again = [w for w in new if w in old] if old else []
-        known.update((w, old[w]) for w in again)
-        new = new.difference(again)
-        self.odd.update(w for w in new if not w or w[-1].isspace())
-        alone = [w for w in new if not led or not w or w[0].isspace() or w[-1].isspace()]
-        known.update(zip(alone, self._encode([" " + w if led else w for w in alone]), strict=True))
+            self.known[led], self.size[led] = (known, old), 0
+        self.size[led] += _bytes_of(plain)
+        found = {w: old[w] for w in plain if w in old} if old else {}
+        new = plain.difference(found)
+        alone = [w for w in new if not led or w[0].isspace()]
+        found.update(zip(alone, self._encode([" " + w if led else w for w in alone]), strict=True))
         if led:
             row = list(new.difference(alone))
-            known.update(zip(row, self._encode_led(row), strict=True))
-        return known
+            found.update(zip(row, self._encode_led(row), strict=True))
+        known.update(found)
+        if len(plain) < len(words):
+            odd = self.odd[led]
+            if _bytes_of(odd.keys()) > WORD_BYTES // 8:
+                odd.clear()
+            strange = [w for w in words.difference(plain) if w not in odd]
+            odd.update(zip(strange, self._encode([" " + w if led else w for w in strange]), strict=True))
+            found.update((w, odd[w]) for w in words.difference(plain))
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
-        if len(self.odd) > WORDS_KEPT:  # forgotten with all words, so that none goes unnoticed
-            self.odd, self.known = set(), {False: ({}, {}), True: ({}, {})}
-        split = [t.split(" ") for t in texts]
-        heads = [w.pop(0) for w in split]
-        firsts, words = set(heads), set(chain.from_iterable(split))
-        first, rest = self._learn(firsts, led=False), self._learn(words, led=True)
-        found = [first[h] + b"".join(map(rest.__getitem__, w)) for h, w in zip(heads, split, strict=True)]
+        first, rest = self.known[False][0].get, self.known[True][0].get
+        rows: list[tuple[str, list[str], list[bytes | None], list[int]]] = []
+        heads: set[str] = set()
+        missing: set[str] = set()
+        for text in texts:
+            words = text.split(" ")
+            head = words.pop(0)
+            ids = list(map(rest, words))
+            gaps = [k for k, i in enumerate(ids) if i is None] if None in ids else []
+            missing.update(map(words.__getitem__, gaps))
+            if first(head) is None:
+                heads.add(head)
+            rows.append((head, words, ids, gaps))
+        known = self.known[False][0]
+        starts = self._learn(heads, led=False)
+        new = self._learn(missing, led=True)
         # A space after white space: there the pre-tokenizer may keep both together.
-        if odd := self.odd & words | self.odd & firsts:
-            whole = [i for i, w in enumerate(split) if heads[i] in odd and w or not odd.isdisjoint(w[:-1])]
-            for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-                found[i] = ids
-        return found
+        odd = {w for w in missing if _odd(w)}
+        out, whole = [], []
+        for n, (head, words, ids, gaps) in enumerate(rows):
+            if words and head in starts and _odd(head) or odd and any(words[k] in odd for k in gaps if k < len(words) - 1):
+                whole.append(n)
+                out.append(b"")
+                continue
+            for k in gaps:
+                ids[k] = new[words[k]]
+            out.append((starts[head] if head in starts else known[head]) + b"".join(ids))
+        for n, ids in zip(whole, self._encode([texts[n] for n in whole]), strict=True):
+            out[n] = ids
+        return out
+
+
+def _odd(word: str) -> bool:
+    return not word or word[-1].isspace()
+
+
+def _bytes_of(words: Collection[str]) -> int:
+    """About what a memory of the words takes, with their ids."""
+    return 200 * len(words) + 3 * sum(map(len, words))
+
+
+def _check(tokenizer) -> None:  # noqa: ANN001
+    """Only byte-level BPE that cuts texts before a space, and added tokens that take no space, can go word by word."""
+    from tokenizers import models, pre_tokenizers
+
+    cutter = tokenizer.pre_tokenizer
+    if not isinstance(tokenizer.model, models.BPE) or not isinstance(cutter, pre_tokenizers.ByteLevel) or cutter.add_prefix_space or not cutter.use_regex:
+        raise ValueError("only byte-level BPE tokenizers without a space put in front can go word by word")
+    if tokenizer.normalizer is not None or tokenizer.truncation or tokenizer.padding:
+        raise ValueError("a normalizer, truncation or padding needs whole texts")
+    if any(any(c.isspace() for c in t.content) or t.lstrip or t.rstrip or t.single_word for t in tokenizer.get_added_tokens_decoder().values()):
+        raise ValueError("added tokens that take white space need whole texts")
 
 
 def encoder_of(path: str) -> WordEncoder:
@@ -245,7 +296,10 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     # One row per file, so this window is over a list of files.
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     files = manifest.select("part", "ids_path", "docs_path", F.coalesce(before, F.lit(0)).alias("before"))
-    return files.repartition("part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, padding long")
+    # By the manifest's own size one task would read all files: a task for so many tokens, and for every core at least.
+    n, tokens = manifest.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    tasks = max(1, min(n, max(spark.sparkContext.defaultParallelism, -(-tokens // READ_TOKENS))))
+    return files.repartition(tasks).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, padding long")
 
 
 def _open(fs: pafs.FileSystem, path: str):

@@ -76,6 +76,32 @@ def test_token_files_layout(spark, make):
     assert ids == [x for _, text in rows for x in [*t.encode(text, add_special_tokens=False).ids, 2]]
 
 
+def test_files_are_read_in_parallel(spark, make, monkeypatch):
+    path = fresh_path(spark, "parallel")
+    m = token_files.write_token_files(make([(i, f"doc {i}") for i in range(400)]), path, BPE, 2, partitions=40)
+    assert m.count() > 30
+    for most, least in ((token_files.READ_TOKENS, spark.sparkContext.defaultParallelism), (1, m.count())):  # cores, or files
+        monkeypatch.setattr(token_files, "READ_TOKENS", most)
+        found = token_files.read_token_files(spark, path)
+        assert found.count() == 400 and found.rdd.getNumPartitions() == least > 1
+        assert found.select(F.spark_partition_id()).distinct().count() > least // 2
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json"])
+def test_other_tokenizers_are_refused(name):
+    with pytest.raises(ValueError):
+        token_files.WordEncoder(public_tokenizers.path(name))
+
+
+def test_word_memory_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(token_files, "WORD_BYTES", 20000)
+    e, whole = token_files.WordEncoder(BPE), token_files.WordEncoder(BPE)
+    for k in range(12):
+        texts = [" ".join(f"{i:0200d}" for i in range(k * 9, k * 9 + 20))]
+        assert e.encode(texts) == whole.encode(texts)
+        assert e.size[True] <= 20000
+
+
 def test_token_files_odd(odd, empty):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     got = token_files.token_table(odd, BPE, 2).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -121,6 +147,62 @@ def test_scan_is_exact():
     assert parts > 4
 
 
+@pytest.fixture(scope="session")
+def unigram(tmp_path_factory):
+    """A unigram model with scores set by hand, multiples of 1/8, so that sums of floats are exact."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    m = sentencepiece_model_pb2.ModelProto()
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = 1, True
+    m.normalizer_spec.name, m.normalizer_spec.remove_extra_whitespaces = "identity", False
+    rows = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3)] + [(f"<0x{b:02X}>", 0, 6) for b in range(256)]
+    rows += [(c, -8 - i / 8, 1) for i, c in enumerate("abcdefgh\n▁")]
+    rng = random.Random(1)
+    seen = {r[0] for r in rows}
+    for _ in range(400):
+        piece = "▁" * rng.randrange(2) + "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
+        if piece not in seen:
+            seen.add(piece)
+            rows.append((piece, -9 - rng.randrange(100) / 8, 1))
+    for piece, score, kind in rows:
+        m.pieces.add(piece=piece, score=score, type=kind)
+    path = tmp_path_factory.mktemp("unigram") / "m.model"
+    path.write_bytes(m.SerializeToString())
+    return str(path)
+
+
+def test_unigram_scan_is_exact(unigram):
+    import sentencepiece
+
+    m, sp, rng = pieces.load(unigram), sentencepiece.SentencePieceProcessor(model_file=unigram), random.Random(7)
+    assert isinstance(m, pieces.Unigram) and not isinstance(pieces.load(PIECES), pieces.Unigram)
+    wide = 0
+    for k in range(60):
+        text = "".join(rng.choice("abcdefgh" + " \nxé日"[: k % 6]) for _ in range(rng.randrange(0, 400)))
+        ids, n, value = scan(m, m.prepared(text), 32)
+        assert ids == sp.encode(text), repr(text)
+        assert m.decode(np.array(ids, "<i4")) == text
+        values = m._best(m.prepared(text), 0, len(m.prepared(text)))[0]
+        assert not text or value == values[len(m.prepared(text))]
+        wide = max(wide, *(len(x[3]) for x in pieces.chunks_of(m, m.prepared(text), 32)))
+    assert wide > 2  # cuts within words have several states, between which the scan decides
+
+
+def test_unigram_documents(make, unigram, monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "GROUP", 3)
+    sp, rng = sentencepiece.SentencePieceProcessor(model_file=unigram), random.Random(8)
+    rows = [(i, "".join(rng.choice("abcdefgh" + " " * (i % 2)) for _ in range(60 * i))) for i in range(12)]
+    got = pieces.encode(make(rows), unigram, chunk=50)
+    assert {r["doc_id"]: r["ids"] for r in got.collect()} == {i: sp.encode(t) for i, t in rows}
+
+
+def test_restored_is_honest(make):
+    got = pieces.encode_checked(make([(1, "a b"), (2, "a▁b"), (3, "x▁" * 40000)]), PIECES)
+    assert {r["doc_id"]: r["restored"] for r in got.collect()} == {1: True, 2: False, 3: False}
+
+
 def test_max_plus():
     rng = np.random.default_rng(1)
     a, b, c = (rng.integers(-50, 0, s) for s in ((2, 3), (3, 4), (4, 1)))
