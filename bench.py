@@ -23,6 +23,8 @@ from bitquarry.plans.catalog import Catalog
 from bitquarry.queries import MASK, RARE
 from bitquarry.sources.records import lineitem_records
 
+#: Few records, in few blocks.
+SELECTIVE = Mask(0xB08, 0x400)
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 1))
 RUNS = int(os.environ.get("BENCH_RUNS", 5))
@@ -65,6 +67,8 @@ def main() -> None:
             "count_scan": timed(lambda: query.scan_count(records, MASK)),
             "view_indexed": timed(lambda: skipping.view_of(bucketed, stored, RARE, 256)),
             "view_direct": timed(lambda: query.view_direct(records, RARE)),
+            "view_selective_indexed": timed(lambda: skipping.view_of(bucketed, stored, SELECTIVE, 256)),
+            "view_selective_direct": timed(lambda: query.view_direct(records, SELECTIVE)),
             "top_flags": timed(lambda: report.top_flags(stored)),
             "block_stats": timed(lambda: index.block_stats(stored)),
             "index_merge": timed(lambda: index.merge(stored, stored)),

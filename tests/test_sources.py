@@ -7,9 +7,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from bitquarry import cli
+from bitquarry import benchmark, cli
 from bitquarry.functions.flags import Mask
-from bitquarry.operators import index, query
+from bitquarry.operators import index, query, report
 from bitquarry.plans import skipping
 from bitquarry.plans.catalog import BadIndex, Catalog
 from bitquarry.sources import bam, bam_sink, sam
@@ -102,6 +102,34 @@ def test_straddling(spark, tmp_path):
     assert got.select("block_id").distinct().count() == len(cuts)
 
 
+def test_ranges(spark, tmp_path):
+    """Byte ranges of any size give the blocks of a walk over all headers; a fault at a range's start is seen by the one before."""
+    path = write(tmp_path / "a.bam", block(HEADER), *(block(bytes([k % 251]) * 90 + record(k)) for k in range(120)), END)
+    every = bam.discover_blocks(str(path))
+    for size in (256, 1000, 1 << 20):
+        assert sorted(map(tuple, bam.blocks(spark, str(path), range_bytes=size).collect())) == every, size
+    assert sorted(map(tuple, bam.blocks(spark, str(path), "PERMISSIVE").collect())) == every
+    at = every[60][0]
+    data = path.read_bytes()
+    for name, broken in (("gap", data[:at] + b"\0" * 37 + data[at:]), ("header", data[:at] + b"\0" * 18 + data[at + 18 :])):
+        bad = write(tmp_path / name, broken)
+        for size in (256, 300, 1 << 20):
+            with pytest.raises(Exception, match="no block at offset"):
+                bam.blocks(spark, str(bad), range_bytes=size).collect()
+        left = [r["start_pos"] for r in bam.blocks(spark, str(bad), "RESYNC", 300).collect()]
+        assert sorted(left) == [b for b, _ in bam.discover_blocks(str(bad), "RESYNC")] and len(left) >= 120
+
+
+def test_flags_of_long_records(spark, tmp_path):
+    """Records over many blocks and ranges, and a partition in which none starts."""
+    stream = b"".join(record(k, f"n{k}", "A" * (20000 if k % 5 == 0 else 10)) for k in range(25))
+    path = write(tmp_path / "l.bam", block(HEADER), *(block(stream[c : c + 700]) for c in range(0, len(stream), 700)), END)
+    for size in (256, 2000, 1 << 20):
+        assert flags(spark, path, partition_bytes=size) == Counter(range(25)), size
+        counts = bam.read(spark, str(path), columns="count", partition_bytes=size)
+        assert counts.agg(F.sum("read_count")).first()[0] == 25 and bam.read(spark, str(path), partition_bytes=size).count() == 25
+
+
 def test_sam(spark, tmp_path):
     path = write(tmp_path / "a.bam", block(HEADER), block(record(4, "x") + record(0, "y", "", -1, -1)), END)
     got = sam.lines(bam.read(spark, str(path)), ("chr1",)).collect()
@@ -204,3 +232,17 @@ def test_bam_sink(spark, tmp_path):
     long = rows.limit(1).selectExpr("*").drop("seq", "qual").withColumns({"seq": F.repeat(F.lit("A"), 200_000), "qual": F.lit(None).cast("binary")})
     bam_sink.write(long, f"{tmp_path}/long", head.text, head.names, head.lengths)
     assert bam.read(spark, str(next((tmp_path / "long").iterdir()))).first()["seq"] == "A" * 200_000
+
+
+def test_benchmark(spark, tmp_path, capsys):
+    path = write(tmp_path / "a.bam", block(HEADER), *(block(b"".join(record(f) for f in range(k, k + 20))) for k in range(5)), END)
+    assert cli.main(["bench", "view", "--bam", str(path), "--threads", "1", "--flags", "0x4,0x2", "--out", f"{tmp_path}/out"], spark) == 0
+    said = capsys.readouterr()
+    assert "indexed 0x4" in said.out and "Passed, Passed" in said.err
+    results = report.read_results(spark, f"{tmp_path}/out/results").collect()
+    assert {r["strategy"] for r in results} == {"indexed 0x4", "scan 0x4", "indexed 0x2", "scan 0x2"} and all(r["time_ms"] > 0 and r["samples"] > 3 for r in results)
+    samples = spark.read.csv(f"{tmp_path}/out/samples", header=True, schema=report.SAMPLES)
+    peaks = {r["strategy"]: r["peak_memory_mb"] for r in report.resource_stats(samples).collect()}
+    assert all(abs(peaks[r["strategy"]] - r["peak_memory_mb"]) < 1e-6 and r["peak_memory_mb"] > 50 for r in results)
+    rows, _, counts = benchmark.matrix("index", [str(path)], [], [1], 1)
+    assert [r[1] for r in rows] == list(index.STRATEGIES) and all(r[7] > 0 for r in rows) and not counts
