@@ -128,6 +128,14 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def tidy(batches: Iterator[T]) -> Iterator[T]:
+    """The batches; when they are over, the worker, which waits for its next task, gives freed memory back."""
+    try:
+        yield from batches
+    finally:
+        give_back()
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -53,7 +53,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, passing, runs, small_batches, text_or_empty, worker_state
+from .common import checkpoint, passing, runs, small_batches, text_or_empty, tidy, worker_state
 from .components import connected, forest
 
 SKETCH = 64
@@ -69,7 +69,7 @@ HOT = 4096
 #: What names a row: its id and its text's digests.
 ROW = ["doc_id", "h1", "h2"]
 #: Bytes of words that a worker remembers.
-WORD_BYTES = 32 << 20
+WORD_BYTES = 24 << 20
 
 _MULTIPLIERS = np.random.default_rng(8).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -81,7 +81,7 @@ class _Hashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         found = self[word] = xxhash.xxh64_intdigest(word)
-        self.size += len(word) + 100
+        self.size += len(word) + 180
         return found
 
     def clear(self) -> None:
@@ -184,7 +184,7 @@ def _candidates(reps: DataFrame, percent: int) -> tuple[DataFrame, list[DataFram
         small = checkpoint(cold.join(sizes.filter(F.col("count") <= SMALL).select("node"), "node").select("node", "rep"))
         members.append(small)
         compared = small.join(reps.select("rep", "n", "low8"), "rep").repartition("node").sortWithinPartitions("node")
-        found.append(checkpoint(compared.select("node", "rep", "n", "low8").mapInArrow(lambda it: _compare(it, percent), "a long, b long").distinct()))
+        found.append(checkpoint(compared.select("node", "rep", "n", "low8").mapInArrow(lambda it: tidy(_compare(it, percent)), "a long, b long").distinct()))
         large = sizes.filter(F.col("count") > SMALL).select("node")
         if large.isEmpty():
             return _union(found), members, None
@@ -311,7 +311,7 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select("doc_id", "text", *_own("text"))
     kinds = "doc_id long, h1 long, h2 long, n long, key binary, sketch array<int>, low8 binary"
-    sketched = checkpoint(rows.select(*ROW, "text").mapInArrow(lambda it: _sketches(it, n), kinds))
+    sketched = checkpoint(rows.select(*ROW, "text").mapInArrow(lambda it: tidy(_sketches(it, n)), kinds))
     usable = sketched.filter("n > 0 and doc_id is not null")
     grouped = usable.groupBy("key").agg(F.min(F.struct(*ROW)).alias("low"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("low8").alias("low8"))
     reps = checkpoint(grouped.withColumn("rep", F.monotonically_increasing_id()))
@@ -319,9 +319,9 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     clusters = connected(joins)
     tasks = checkpoint(_tasks(clusters, reps, members, large))
     wanted = checkpoint(clusters.select(F.col("id").alias("rep")).join(reps.select("rep", "low.*"), "rep"))
-    sets = _read_again(rows, wanted).mapInArrow(lambda it: _sets(it, n), "rep long, set binary")
+    sets = _read_again(rows, wanted).mapInArrow(lambda it: tidy(_sets(it, n)), "rep long, set binary")
     dealt = tasks.join(sets, "rep").select("task", "rep", "set")
-    edges = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(lambda it: _verify(it, percent), "a long, b long")
+    edges = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(lambda it: tidy(_verify(it, percent)), "a long, b long")
     linked = connected(edges).withColumnRenamed("id", "rep")
 
     # Sets without links stand for themselves; a component's least row is found over its sets, not over its rows.

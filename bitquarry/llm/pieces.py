@@ -37,8 +37,8 @@ replace equally named ones.
 from __future__ import annotations
 
 import functools
-import itertools
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_batches, text_or_empty, worker_state
+from .common import checkpoint, give_back, small_batches, text_or_empty, tidy, worker_state
 
 SPACE = "▁"
 CHUNK = 1 << 15
@@ -54,7 +54,7 @@ CHUNK = 1 << 15
 GROUP = 64
 #: Words in a generation of those that a worker remembers, and about how many bytes they take at most.
 WORDS_KEPT = 100_000
-WORD_BYTES = 48 << 20
+WORD_BYTES = 32 << 20
 LEAST = -(1 << 62)
 
 #: A state: the covering piece's (start, end) from the cut, or (0, 0) between words.
@@ -114,26 +114,36 @@ class Model:
         return re.findall(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+", text)
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words that are not among those met lately; of two generations the older one is forgotten when the other is full."""
         known, old = self.known
-        new = words.difference(known)
-        weigh = lambda some: 200 * len(some) + 6 * sum(map(len, some))
-        if len(known) + len(new) > WORDS_KEPT or self.size + weigh(new) > WORD_BYTES:
+        size = 200 * len(words) + 6 * sum(map(len, words))
+        if len(known) + len(words) > WORDS_KEPT or self.size + size > WORD_BYTES:
             known, old = {}, known
             self.known, self.size = (known, old), 0
-            new = words
-        self.size += weigh(new)
-        again = [w for w in new if w in old] if old else []
-        known.update((w, old[w]) for w in again)
-        unseen = list(new.difference(again))
+        self.size += size
+        found = {w: old[w] for w in words if w in old} if old else {}
+        unseen = list(words.difference(found))
         ids = self.library.encode(unseen, num_threads=1) if unseen else []
-        known.update((w, np.array(x, "<i4").tobytes()) for w, x in zip(unseen, ids, strict=True))
-        return known
+        found.update((w, array("i", x).tobytes()) for w, x in zip(unseen, ids, strict=True))
+        known.update(found)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids (little-endian int32) of prepared strings."""
-        split = [self.words(t) for t in texts]
-        known = self._learn(set(itertools.chain.from_iterable(split)))
-        return [b"".join(map(known.__getitem__, w)) for w in split]
+        get = self.known[0].get
+        rows: list[tuple[list[str], list[bytes | None], list[int]]] = []
+        missing: set[str] = set()
+        for text in texts:
+            words = self.words(text)
+            ids = list(map(get, words))
+            gaps = [k for k, i in enumerate(ids) if i is None] if None in ids else []
+            missing.update(map(words.__getitem__, gaps))
+            rows.append((words, ids, gaps))
+        found = self._learn(missing) if missing else {}
+        for words, ids, gaps in rows:
+            for k in gaps:
+                ids[k] = found[words[k]]
+        return [b"".join(ids) for _, ids, _ in rows]
 
     # Cuts, states and transfer matrices.
 
@@ -349,7 +359,7 @@ def chunks_of(m: Model, text: str, chunk: int) -> list[tuple[str, int, int, list
     return out
 
 
-def _groups(texts: Iterable[str], most: int = 500_000) -> Iterator[list[str]]:
+def _groups(texts: Iterable[str], most: int = 250_000) -> Iterator[list[str]]:
     held: list[str] = []
     size = 0
     for t in texts:
@@ -404,6 +414,7 @@ def _encoded(model: str, texts: Iterable[str]) -> Iterator[bytes]:
     m = model_of(model)
     for g in _groups((m.prepared(t) for t in texts)):
         yield from m.encode(g)
+    give_back()  # before the next batch
 
 
 def _restores(model: str, ids: bytes, text: str) -> bool:
@@ -434,7 +445,7 @@ def _scan(giants: DataFrame, model: str, chunk: int, kind: str) -> DataFrame:
                     places = {n: pa.array([x], pa.int32()) for n, x in (("start", start), ("end", end))}
                     yield pa.RecordBatch.from_pydict({"row": [row], "part": pa.array([k], pa.int32()), "text": [piece]} | places | flat)
 
-    chunks = checkpoint(giants.mapInArrow(split, _CHUNKS).repartition("row", "part"))
+    chunks = checkpoint(giants.mapInArrow(lambda it: tidy(split(it)), _CHUNKS).repartition("row", "part"))
 
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_of(model)
@@ -498,15 +509,15 @@ def _scan(giants: DataFrame, model: str, chunk: int, kind: str) -> DataFrame:
             yield _joined(now, parts, kind)
 
     group = F.floor(F.col("part") / GROUP).cast("int")
-    matrices = chunks.mapInArrow(transfers, "row long, part int, starts int, m binary").select("row", group.alias("group"), "part", "starts", "m")
+    matrices = chunks.mapInArrow(lambda it: tidy(transfers(it)), "row long, part int, starts int, m binary").select("row", group.alias("group"), "part", "starts", "m")
     inner = matrices.repartition("row", "group").sortWithinPartitions("row", "group", "part")
-    inner = checkpoint(inner.mapInArrow(within, "row long, group int, part int, width int, m binary"))
+    inner = checkpoint(inner.mapInArrow(lambda it: tidy(within(it)), "row long, group int, part int, width int, m binary"))
     products = inner.filter("part < 0").select("row", "group", "width", "m")
-    firsts = products.repartition("row").sortWithinPartitions("row", "group").mapInArrow(across, "row long, group int, value array<bigint>")
+    firsts = products.repartition("row").sortWithinPartitions("row", "group").mapInArrow(lambda it: tidy(across(it)), "row long, group int, value array<bigint>")
     reached = inner.filter("part >= 0").join(firsts, ["row", "group"]).drop("group")
-    traced = chunks.join(reached, ["row", "part"]).mapInArrow(backtraces, "row long, part int, end int, from int, ids binary")
+    traced = chunks.join(reached, ["row", "part"]).mapInArrow(lambda it: tidy(backtraces(it)), "row long, part int, end int, from int, ids binary")
     ordered = traced.repartition("row").sortWithinPartitions("row", F.desc("part"), "end").select(F.array(F.col("row"), F.col("part").cast("long")).alias("at"), "end", "from", "ids")
-    return ordered.mapInArrow(chains, f"__bq_row long, ids {kind}")
+    return ordered.mapInArrow(lambda it: tidy(chains(it)), f"__bq_row long, ids {kind}")
 
 
 def _joined(row: int, parts: list[bytes], kind: str) -> pa.RecordBatch:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty, worker_state
+from .common import give_back, small_batches, text_or_empty, tidy, worker_state
 
 SAMPLE = 6000
 FEATURES = 1 << 16
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     # At most ``sample`` ids and labels are broadcast, and as many rows of features come back.
-    found = rows.join(F.broadcast(picked), "doc_id").mapInArrow(featurize, "doc_id long, label int, raw binary")
+    found = rows.join(F.broadcast(picked), "doc_id").mapInArrow(lambda it: tidy(featurize(it)), "doc_id long, label int, raw binary")
     got = found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("raw")).limit(sample).toPandas()
     return fit_rows([np.frombuffer(r, np.int64) for r in got["raw"]], got["label"].to_numpy(), most)
 
@@ -167,6 +167,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
         import pandas as pd
 
         p = model.severities(list(texts), worker_state(("toxicity", key), dict))
+        give_back()
         return pd.DataFrame({"severity": p.sum(1), "grade": (p >= 0.5).sum(1).astype(np.int32)})
 
     return docs.withColumn("__bq_severity", run(text_or_empty()))
