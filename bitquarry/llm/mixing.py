@@ -185,15 +185,16 @@ class _Plan:
 
     def ends(self) -> DataFrame:
         """Per source the block, and in it the last document, of the last epoch that the budget still reads; at most a row per source."""
-        stop = self.placed.filter(F.col("__bq_before") + F.col("__bq_in") > F.col("__bq_rest")).groupBy(_SID).agg(F.min(F.struct("__bq_turn", _BLOCK)).alias("__bq_stop"))
-        # A local relation again, so that no source is the key of a shuffle.
-        stop = self._local(stop)
-        last = self.dealt.join(stop, _SID).filter(F.struct("__bq_turn", _BLOCK) == F.col("__bq_stop")).drop("__bq_stop")
-        last = self.upto(last).filter("__bq_upto <= __bq_rest").groupBy(_SID).agg(F.max(F.struct("__bq_inner", "__bq_key")).alias("__bq_cut"))
+        stop = self.placed.filter(F.col("__bq_before") + F.col("__bq_in") > F.col("__bq_rest")).groupBy(_SID).agg(F.min(F.struct("__bq_turn", _BLOCK)).alias("s"))
+        # Local relations of known size again, so that no source is the key of a shuffle.
+        stop = self._local(stop.select(_SID, F.col("s.__bq_turn").alias("__bq_stop_turn"), F.col(f"s.{_BLOCK}").alias("__bq_stop_block")))
+        last = self.dealt.join(stop, _SID).filter((F.col("__bq_turn") == F.col("__bq_stop_turn")) & (F.col(_BLOCK) == F.col("__bq_stop_block")))
+        last = self.upto(last).filter("__bq_upto <= __bq_rest").groupBy(_SID).agg(F.max(F.struct("__bq_inner", "__bq_key")).alias("c"))
+        last = last.select(_SID, F.col("c.__bq_inner").alias("__bq_cut_inner"), F.col("c.__bq_key").alias("__bq_cut_key"))
         return self._local(stop.join(last, _SID, "left"))
 
     def _local(self, table: DataFrame) -> DataFrame:
-        return table.sparkSession.createDataFrame(table.collect(), table.schema)
+        return table.sparkSession.createDataFrame(table.toArrow())  # at most a row per source; from Arrow, so its size is known
 
 
 def plan(docs: DataFrame, target: Target, seed: int = 0) -> DataFrame:
@@ -221,9 +222,10 @@ def mix(docs: DataFrame, target: Target, seed: int = 0) -> DataFrame:
     names = {c: f"__bq_c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.withColumns(p.facts() | {n: F.col(f"`{c}`") for c, n in names.items()})
     dealt = p.deal(rows).join(p.ends(), _SID, "left")
-    here, stop = F.struct("__bq_turn", _BLOCK), F.col("__bq_stop")
-    inside = F.struct("__bq_inner", "__bq_key") <= F.col("__bq_cut")
-    more = F.when(stop.isNull() | (here < stop), 1).when(here == stop, F.coalesce(inside, F.lit(False)).cast("int")).otherwise(0)
+    here, stop = F.struct("__bq_turn", _BLOCK), F.struct(F.col("__bq_stop_turn").alias("__bq_turn"), F.col("__bq_stop_block").alias(_BLOCK))
+    cut = F.struct(F.col("__bq_cut_inner").alias("__bq_inner"), F.col("__bq_cut_key").alias("__bq_key"))
+    inside = F.col("__bq_cut_key").isNotNull() & (F.struct("__bq_inner", "__bq_key") <= cut)
+    more = F.when(F.col("__bq_stop_turn").isNull() | (here < stop), 1).when(here == stop, F.coalesce(inside, F.lit(False)).cast("int")).otherwise(0)
     epochs = F.expr("sequence(0, __bq_copies - 1)")
     copies = dealt.withColumn("__bq_copies", F.col("__bq_epochs") + more).filter("__bq_copies > 0").withColumn("__bq_epoch", F.explode(epochs))
     copies = copies.withColumns(_turns(seed, F.col("__bq_epoch")))
