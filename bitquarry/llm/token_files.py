@@ -21,10 +21,11 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Collection, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -39,8 +40,8 @@ WORDS_KEPT = 800_000
 WORD_BYTES = 192 << 20
 #: Tokens that a task reads back, about.
 READ_TOKENS = 1 << 23
-#: Characters encoded together.
-CHUNK_CHARS = 2_000_000
+#: Bytes of text that are encoded together.
+CHUNK_BYTES = 4 << 20
 
 MANIFEST = "part int, ids_path string, docs_path string, n_docs long, n_tokens long"
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -96,70 +97,88 @@ class WordEncoder:
         which words that are met again move on, so rare words are forgotten.
         Odd words, empty or with white space at their end, have a memory of their own.
         """
-        plain = {w for w in words if w and not w[-1].isspace()}
+        strange = {w for w in words if not w or w[-1].isspace()}
+        plain = words - strange if strange else words
         known, old = self.known[led]
-        if len(known) + len(plain) > WORDS_KEPT or self.size[led] + _bytes_of(plain) > WORD_BYTES:
+        size = 200 * len(plain) + 3 * sum(map(len, plain))
+        if len(known) + len(plain) > WORDS_KEPT or self.size[led] + size > WORD_BYTES:
             known, old = {}, known
             self.known[led], self.size[led] = (known, old), 0
-        self.size[led] += _bytes_of(plain)
+        self.size[led] += size
         found = {w: old[w] for w in plain if w in old} if old else {}
         new = plain.difference(found)
-        alone = [w for w in new if not led or w[0].isspace()]
-        found.update(zip(alone, self._encode([" " + w if led else w for w in alone]), strict=True))
+        alone = [w for w in new if w[0].isspace()] if led else list(new)
+        found.update(zip(alone, self._encode([" " + w for w in alone] if led else alone), strict=True))
         if led:
             row = list(new.difference(alone))
             found.update(zip(row, self._encode_led(row), strict=True))
         known.update(found)
-        if len(plain) < len(words):
+        if strange:
             odd = self.odd[led]
-            if _bytes_of(odd.keys()) > WORD_BYTES // 8:
+            if sum(map(len, odd)) + 200 * len(odd) > WORD_BYTES // 8:
                 odd.clear()
-            strange = [w for w in words.difference(plain) if w not in odd]
-            odd.update(zip(strange, self._encode([" " + w if led else w for w in strange]), strict=True))
-            found.update((w, odd[w]) for w in words.difference(plain))
+            new = [w for w in strange if w not in odd]
+            odd.update(zip(new, self._encode([" " + w if led else w for w in new]), strict=True))
+            found.update((w, odd[w]) for w in strange)
         return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian bytes."""
-        first, rest = self.known[False][0].get, self.known[True][0].get
-        rows: list[tuple[str, list[str], list[bytes | None], list[int]]] = []
-        heads: set[str] = set()
-        missing: set[str] = set()
-        for text in texts:
-            words = text.split(" ")
-            head = words.pop(0)
-            ids = list(map(rest, words))
-            gaps = [k for k, i in enumerate(ids) if i is None] if None in ids else []
-            missing.update(map(words.__getitem__, gaps))
-            if first(head) is None:
-                heads.add(head)
-            rows.append((head, words, ids, gaps))
-        known = self.known[False][0]
-        starts = self._learn(heads, led=False)
-        new = self._learn(missing, led=True)
-        # A space after white space: there the pre-tokenizer may keep both together.
-        odd = {w for w in missing if _odd(w)}
-        out, whole = [], []
-        for n, (head, words, ids, gaps) in enumerate(rows):
-            if words and head in starts and _odd(head) or odd and any(words[k] in odd for k in gaps if k < len(words) - 1):
-                whole.append(n)
-                out.append(b"")
-                continue
-            for k in gaps:
-                ids[k] = new[words[k]]
-            out.append((starts[head] if head in starts else known[head]) + b"".join(ids))
-        for n, ids in zip(whole, self._encode([texts[n] for n in whole]), strict=True):
-            out[n] = ids
-        return out
-
+    def _ids(self, words: list[str], led: bool) -> list[bytes]:
+        ids = list(map(self.known[led][0].get, words))
+        gaps = [k for k, i in enumerate(ids) if i is None]
+        found = self._learn({words[k] for k in gaps}, led) if gaps else {}
+        for k in gaps:
+            ids[k] = found[words[k]]
+        return ids
 
-def _odd(word: str) -> bool:
-    return not word or word[-1].isspace()
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has.
 
+        Arrow cuts the texts and finds the distinct words; only these are
+        looked up, and their ids are gathered by place.
+        """
+        if not len(texts):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        split = pc.split_pattern(texts, " ")
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        coded = split.values.dictionary_encode()
+        words, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        head = np.zeros(len(place), bool)
+        head[offsets[:-1]] = True
+        ids: list[bytes] = []
+        slots = []
+        for led, used in ((True, place[~head]), (False, place[head])):
+            mine = np.zeros(len(words), bool)
+            mine[used] = True
+            mine = np.flatnonzero(mine)
+            slot = np.zeros(len(words), np.int64)
+            slot[mine] = len(ids) + np.arange(len(mine))
+            ids += self._ids([words[k] for k in mine.tolist()], led)
+            slots.append(slot)
+        row = np.frombuffer(b"".join(ids), self.dtype)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(self.dtype).itemsize
+        starts = np.cumsum(sizes) - sizes
+        slot = np.where(head, slots[1][place], slots[0][place])
+        sizes, starts = sizes[slot], starts[slot]
+        tokens = row[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+        counts = np.add.reduceat(sizes, offsets[:-1])
+        # A space after white space: there the pre-tokenizer may keep both together.
+        long = pc.binary_length(coded.dictionary).to_numpy()
+        odd = ((pc.binary_length(pc.utf8_rtrim_whitespace(coded.dictionary)).to_numpy() < long) | (long == 0))[place]
+        odd[offsets[1:] - 1] = False
+        whole = np.flatnonzero(np.logical_or.reduceat(odd, offsets[:-1]))
+        if len(whole):
+            parts = np.split(tokens, np.cumsum(counts)[:-1])
+            for n, own in zip(whole.tolist(), self._encode([texts[n].as_py() for n in whole.tolist()]), strict=True):
+                parts[n] = np.frombuffer(own, self.dtype)
+                counts[n] = len(parts[n])
+            tokens = np.concatenate(parts)
+        return tokens, counts
 
-def _bytes_of(words: Collection[str]) -> int:
-    """About what a memory of the words takes, with their ids."""
-    return 200 * len(words) + 3 * sum(map(len, words))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian bytes."""
+        tokens, counts = self.flat(pa.array(texts, pa.string()))
+        ends = np.cumsum(counts)
+        return [tokens[a:b].tobytes() for a, b in zip(ends - counts, ends, strict=True)]
 
 
 def _check(tokenizer) -> None:  # noqa: ANN001
@@ -180,21 +199,15 @@ def encoder_of(path: str) -> WordEncoder:
     return worker_state(("token files", path), lambda: WordEncoder(path))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts of at most CHUNK_CHARS at a time (more only for one longer text)."""
-    ids: list = []
-    texts: list[str] = []
-    size = 0
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts of about CHUNK_BYTES at a time."""
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids.append(i)
-            texts.append(t.as_py())
-            size += len(texts[-1])
-            if size >= CHUNK_CHARS:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+        ids, texts = batch.column(0), batch.column(1)
+        chunk = np.cumsum(pc.binary_length(texts).to_numpy()) // CHUNK_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                yield ids.slice(a, b - a), texts.slice(a, b - a)
 
 
 class _Writer:
@@ -249,18 +262,17 @@ def write_token_files(
         context = TaskContext.get()
         name = f"data/part-{context.partitionId():06d}-{context.taskAttemptId()}"
         writer, index, at, n_docs, encoder = None, None, 0, 0, encoder_of(tokenizer)
-        end = np.array([end_id], encoder.dtype).tobytes()
         store, folder = pafs.FileSystem.from_uri(path)
         for ids, texts in _chunks(batches):
             if writer is None:
                 writer = _Writer(store, f"{folder}/{name}.arrow", encoder.dtype, seq_len)
                 docs_sink = store.open_output_stream(f"{folder}/{name}.docs.arrow")
                 index = pa.ipc.new_file(docs_sink, DOCS)
-            encoded = [x + end for x in encoder.encode(texts)]
-            sizes = np.array([len(x) // writer.width for x in encoded], np.int64)
+            tokens, counts = encoder.flat(texts)
+            sizes = counts + 1
             starts = at + np.cumsum(sizes) - sizes
-            writer.add(b"".join(encoded))
-            index.write_batch(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts), pa.array(sizes)], schema=DOCS))
+            writer.add(np.insert(tokens, np.cumsum(counts), end_id).tobytes())
+            index.write_batch(pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(starts), pa.array(sizes)], schema=DOCS))
             at += int(sizes.sum())
             n_docs += len(ids)
         if writer is not None:
