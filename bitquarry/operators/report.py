@@ -18,11 +18,10 @@ SAMPLES = "threads INT, strategy STRING, timestamp_ms BIGINT, memory_mb DOUBLE,
 
 def top_flags(index: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` most frequent flags with their share of all records and their labels; ties by flag."""
-    flags = flag_summary(index)  # 65,536 rows at most; its exchange is reused for the total
-    total = flags.agg(F.coalesce(F.sum("total_reads"), F.lit(0)).alias("total_records"))
-    top = flags.orderBy(F.desc("total_reads"), "flag").limit(n)
+    flags = flag_summary(index)  # 65,536 rows at most, so a window over all of them is bounded
+    top = flags.withColumn("total_records", F.sum("total_reads").over(Window.partitionBy())).orderBy(F.desc("total_reads"), "flag").limit(n)
     share = F.when(F.col("total_records") > 0, F.col("total_reads") * 100.0 / F.col("total_records")).otherwise(0.0)
-    return top.crossJoin(total).select("flag", hex_flag("flag").alias("hex"), "total_reads", share.alias("percentage"), labels("flag").alias("labels"))  # times one row
+    return top.select("flag", hex_flag("flag").alias("hex"), "total_reads", share.alias("percentage"), labels("flag").alias("labels"))
 
 
 def bit_totals(index: DataFrame) -> DataFrame:

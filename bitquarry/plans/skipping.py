@@ -29,18 +29,23 @@ def write_records(records: DataFrame, path: str, blocks_per_bucket: int) -> None
 
 
 def view(spark: SparkSession, path: str, index: DataFrame, mask: Mask, blocks_per_bucket: int) -> DataFrame:
-    """Matching records of a table that ``write_records`` stored."""
-    return view_of(spark.read.parquet(path), index, mask, blocks_per_bucket)
+    """Matching records of a table that ``write_records`` stored, pruned to the matching buckets at run time."""
+    stored = spark.read.parquet(path)
+    if mask.is_all:
+        return stored.drop("bucket")
+    buckets = mask.apply(index).select(bucket_of(blocks_per_bucket).alias("bucket")).distinct()
+    return _listed(stored, index, mask, blocks_per_bucket).join(buckets, "bucket", "left_semi").drop("bucket")
 
 
 def view_of(stored: DataFrame, index: DataFrame, mask: Mask, blocks_per_bucket: int) -> DataFrame:
-    """The same of a table that is open already, whose files need no listing again."""
-    if mask.is_all:
-        return stored.drop("bucket")
-    hits = mask.apply(index)
-    flags, low, high = hits.agg(F.collect_set("flag"), F.min("block_id"), F.max("block_id")).first()  # 65,536 flags at most
+    """The same of a table that is open already, by the range of matching buckets and without a join."""
+    return stored.drop("bucket") if mask.is_all else _listed(stored, index, mask, blocks_per_bucket).drop("bucket")
+
+
+def _listed(stored: DataFrame, index: DataFrame, mask: Mask, blocks_per_bucket: int) -> DataFrame:
+    """The matching records, by their flags, within the range of blocks and buckets that hold them; one small query of the index."""
+    flags, low, high = mask.apply(index).agg(F.collect_set("flag"), F.min("block_id"), F.max("block_id")).first()  # 65,536 flags at most
     if not flags:
-        return stored.filter(F.lit(False)).drop("bucket")
+        return stored.filter(F.lit(False))
     matching = stored.filter(F.col("flag").isin(sorted(flags))) if len(flags) <= LISTED else mask.apply(stored)
-    buckets = hits.select(bucket_of(blocks_per_bucket).alias("bucket")).distinct()
-    return matching.filter(F.col("block_id").between(low, high)).join(buckets, "bucket", "left_semi").drop("bucket")
+    return matching.filter(F.col("block_id").between(low, high) & F.col("bucket").between(low // blocks_per_bucket, high // blocks_per_bucket))
