@@ -76,7 +76,7 @@ for _name in ("channel", "constant-memory"):
 
 # Layouts and codecs.
 
-_register("count_packed", f"{_I} SELECT {_SUM} AS matching_reads FROM i WHERE {_HIT}", lambda s, d: query.count(index.unpack(index.pack(_index(s, d))), MASK))
+_register("count_packed", f"{_I} SELECT {_SUM} AS matching_reads FROM i WHERE {_HIT}", lambda s, d: query.count(index.unpack(index.pack(i := _index(s, d), index.range_width(i))), MASK))
 _register(
     "pack_arrays",
     f"""{_I} SELECT flag, min(block_id) AS first_block, array_to_string(list(delta ORDER BY block_id) FILTER (delta IS NOT NULL), ',') AS deltas,

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.flags import age
-from ..operators.index import SCHEMA, compression_stats, pack, unpack
+from ..operators.index import SCHEMA, compression_stats, pack, range_width, unpack
 
 VERSION = 1
 MANIFEST = "version INT, created BIGINT, source_path STRING, source_size BIGINT, source_mtime BIGINT, layout STRING, build_time_ms BIGINT, compression_ratio DOUBLE, data STRING"
@@ -73,7 +73,7 @@ class Catalog:
         data = f"data-{created}"
         began = time.perf_counter()
         rows = index.select(F.col("flag").cast("int"), F.col("block_id").cast("bigint"), F.col("read_count").cast("bigint"))
-        stored = pack(rows) if layout == "packed" else rows.repartitionByRange("flag", "block_id").sortWithinPartitions("flag", "block_id")
+        stored = pack(rows, range_width(rows)) if layout == "packed" else rows.repartitionByRange("flag", "block_id").sortWithinPartitions("flag", "block_id")
         stored.write.option("compression", "zstd").parquet(f"{self.path(name)}/{data}")
         took = int((time.perf_counter() - began) * 1000)
         ratio = compression_stats(self._data(name, layout, data)).first()["compression_ratio"] if layout == "packed" else 1.0

@@ -104,7 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "equivalence": lambda s, d: compare.is_equivalent(_index(s, d), index.merge(*_halves(s, d))),
     "equivalence_analysis": lambda s, d: compare.analyze(*_changed(s, d)),
     "delta_encode": lambda s, d: codecs.delta_encode(_index(s, d)).select("flag", "block_id", "delta"),
-    "delta_roundtrip": lambda s, d: index.unpack(index.pack(_index(s, d))),
+    "delta_roundtrip": lambda s, d: index.unpack(index.pack(i := _index(s, d), index.range_width(i))),
     "pack": _packed,
     "compression_stats": lambda s, d: index.compression_stats(_index(s, d)),
     "sparse_stats": lambda s, d: index.sparse_stats(_index(s, d)),
