@@ -108,7 +108,7 @@ def _varint_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(parts):  # noqa: ANN001, ANN202
         for part in parts:
-            back = [codecs.varint_decode(codecs.varint_encode(list(map(int, x)))) for x in part["deltas"]]
+            back = (codecs.varint_decode(codecs.varint_encode(list(map(int, x)))) for x in part["deltas"])
             yield pd.DataFrame({"flag": part["flag"], "deltas": [",".join(map(str, x)) for x in back]})
 
     return rows.mapInPandas(run, "flag int, deltas string")
