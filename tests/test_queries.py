@@ -39,7 +39,7 @@ def test_against_sql(spark, con, name):
     assert normal(map(tuple, df.select(*columns).collect())) == normal(want)
 
 
-@pytest.mark.parametrize("name", ["bins", "pack", "varint_roundtrip", "bins_arrays"])
+@pytest.mark.parametrize("name", ["bins", "pack", "varint_roundtrip", "bins_arrays", "pack_arrays"])
 def test_many_blocks(spark, tmp_path, name):
     """Flags with several times ``index.PACKED`` blocks against the SQL."""
     items = spark.range(200_000).selectExpr(
