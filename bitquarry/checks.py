@@ -86,7 +86,7 @@ _register(
 _register(
     "bins_arrays",
     f"{_I} SELECT flag, {_SUM} AS total_reads, array_to_string(list(concat(block_id, ':', n) ORDER BY block_id), ',') AS blocks FROM i GROUP BY flag",
-    lambda s, d: index.bins(_index(s, d)).select("flag", "total_reads", F.array_join(F.transform("blocks", lambda b: F.concat_ws(":", b["block_id"], b["read_count"])), ",").alias("blocks")),
+    lambda s, d: index.bins(_index(s, d)).select("flag", "total_reads", F.array_join(F.transform("blocks", lambda b: F.concat(F.coalesce(b["block_id"].cast("string"), F.lit("")), F.lit(":"), b["read_count"].cast("string"))), ",").alias("blocks")),
 )
 _register("bins_flatten", f"{_I} SELECT flag, block_id, n AS read_count FROM i", lambda s, d: index.flatten(index.bins(_index(s, d), 16)))
 _register("pack_ranges", f"{_I} SELECT flag, block_id, n AS read_count FROM i", lambda s, d: index.unpack(index.pack(_index(s, d), 16)))

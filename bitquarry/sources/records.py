@@ -39,4 +39,4 @@ def lineitem_bits() -> dict[int, Column]:
 
 def lineitem_records(lineitem: DataFrame) -> DataFrame:
     """Line items as records; a block holds the items of 64 neighbouring order keys."""
-    return records(lineitem, F.floor(F.col("l_orderkey") / KEYS_PER_BLOCK), lineitem_bits())
+    return records(lineitem, F.expr(f"l_orderkey div {KEYS_PER_BLOCK}"), lineitem_bits())
