@@ -70,9 +70,10 @@ def delta_encode(index: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def delta_decode(deltas: DataFrame) -> DataFrame:
-    """``block_id`` again, of ``first_block``, ``delta`` and the place ``pos`` within a packed row (a flag and a first block)."""
+    """``block_id`` again, of ``first_block``, ``delta`` and the place ``pos`` within a packed row (a flag and a first block); null for a null delta after the first place."""
     w = Window.partitionBy("flag", "first_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return deltas.withColumn("block_id", F.col("first_block") + F.sum(F.coalesce("delta", F.lit(0))).over(w))
+    known = F.col("delta").isNotNull() | (F.col("pos") == 0)
+    return deltas.withColumn("block_id", F.when(known, F.col("first_block") + F.sum(F.coalesce("delta", F.lit(0))).over(w)))
 
 
 def array_deltas(values: str | Column) -> Column:

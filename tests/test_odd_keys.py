@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from bitquarry import checks, queries
+from bitquarry.operators import index
 
 QUERIES, ORACLE = queries.QUERIES | checks.QUERIES, queries.ORACLE | checks.ORACLE
 KEYS = {
@@ -19,7 +20,7 @@ def order(row):
     return [(x is None, str(x)) for x in row]
 
 
-@pytest.mark.parametrize("name", ["bins_arrays"])
+@pytest.mark.parametrize("name", ["bins_arrays", "pack_arrays", "varint_roundtrip"])
 @pytest.mark.parametrize("keys", KEYS)
 def test_odd_keys(spark, tmp_path, name, keys):
     c = duckdb.connect()
@@ -29,3 +30,11 @@ def test_odd_keys(spark, tmp_path, name, keys):
     columns = sorted(df.columns)
     want = c.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE[name]})").fetchall()
     assert sorted(map(tuple, df.select(*columns).collect()), key=order) == sorted(want, key=order)
+
+
+@pytest.mark.parametrize("width", [None, 16])
+def test_packed_null_block(spark, width):
+    """Flags with null blocks only, null ones beside others, and none."""
+    rows = [(1, None, 3), (2, 5, 1), (2, 90, 4), (2, None, 2), (3, 7, 1)]
+    i = spark.createDataFrame(rows, index.SCHEMA)
+    assert sorted(map(tuple, index.unpack(index.pack(i, width)).collect()), key=order) == sorted(rows, key=order)
